@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, quality, spm_codec, token_counts, toxicity
+from . import decontaminate, jaccard_join, licenses, quality, spm_codec, substring_dedup, token_counts, toxicity
 from .columns import fold_of
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "")
@@ -58,12 +58,22 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.join_components(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(), 4096)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "cut_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op6_licenses, op7_decontaminate, op8_sentencepiece, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op5_substring_dedup, op6_licenses, op7_decontaminate, op8_sentencepiece, op9_jaccard_join, op10_token_counts)}
 
 
 def _licenses_sql() -> str:
