@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, quality, spm_codec, substring_dedup, token_counts, toxicity
+from . import ann, decontaminate, jaccard_join, licenses, lm_score, quality, spm_codec, substring_dedup, token_counts, toxicity
 from .columns import fold_of
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "")
@@ -26,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = fold_of("doc_id", 3)
@@ -34,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = fold_of("doc_id", 5)
@@ -73,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "cut_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_quality, op5_substring_dedup, op6_licenses, op7_decontaminate, op8_sentencepiece, op9_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_ann, op4_quality, op5_substring_dedup, op6_licenses, op7_decontaminate, op8_sentencepiece, op9_jaccard_join, op10_token_counts)}
 
 
 def _licenses_sql() -> str:
