@@ -6,7 +6,8 @@ the set is empty and links with nothing. Two documents link if 100 * intersectio
 percent * union. The result is each document's set size and component: the smallest id
 reachable by links.
 
-1. Equal sets are one class, found by a 128-bit signature and combined before the shuffle.
+1. Equal sets are one class, known by a 64-bit signature; copies are combined before the
+   shuffle.
 2. Shingles have one global order: by a count sketch of fixed width, frequent ones last,
    then by hash. The first n - ceil(percent * n) + 1 shingles of a set must hold one of any
    set that links with it; a prefix longer by l - 1 must share l.
@@ -43,8 +44,10 @@ SIZE, PERCENT = 4, 85
 CELLS, FREQUENT = 1 << 22, 8
 #: Cells that the order keeps, at most; others count as rare, which keeps the join exact.
 MOST_CELLS = 200_000
+#: Bits of the bit maps by which rows are dropped early that a join would drop anyway.
+BITS = 1 << 23
 #: Pairs left per posting up to which they are listed, and rounds of stars before that.
-LEFT, ROUNDS = 4, 6
+LEFT, ROUNDS = 8, 6
 
 
 def sets_of(s: W.Slice, size: int) -> Iterator[np.ndarray]:
@@ -94,7 +97,7 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def _prefixes(source: DataFrame, cells: np.ndarray, size: int, percent: int) -> DataFrame:
-    """id, n, signature (s1, s2) and prefix of each document."""
+    """id, n, signature and prefix of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(CELLS, np.int32)
@@ -104,33 +107,79 @@ def _prefixes(source: DataFrame, cells: np.ndarray, size: int, percent: int) ->
                 n, sign, prefix = [], [], []
                 for x in sets_of(s, size):
                     n.append(len(x))
-                    sign.append((int(W.mix(x).sum(dtype=W.U64)), int(W.mix(x + W.U64(77)).sum(dtype=W.U64))) if len(x) else (0, 0))
+                    sign.append(int(W.mix(W.mix(x).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))[0]))
                     take = len(x) - needed(len(x), percent) + 1 if len(x) else 0
                     prefix.append(x[np.argsort(rank[_cell(x)], kind="stable")[:take]])
-                offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32))
-                flat = pa.array(np.concatenate(prefix).view(np.int64)) if prefix else pa.array([], pa.int64())
-                signs = np.array(sign, W.U64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", "s1", "s2", "prefix"])
+                signs = pa.array(np.array(sign, W.U64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), signs, _lists(prefix)], names=["id", "n", "class", "prefix"])
 
-    return source.mapInArrow(run, "id long, n long, s1 long, s2 long, prefix array<long>")
+    return source.mapInArrow(run, "id long, n long, class long, prefix array<long>")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).view(np.int64)) if parts else pa.array([], pa.int64()))
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (W.mix(keys.view(W.U64)) & W.U64(BITS - 1)).astype(np.int64)
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """One bit for the hash of each key; BITS bits whatever the number of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, np.bool_)
+        for batch in batches:
+            bits[_bit(batch.column(0).to_numpy())] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["word", "bits"])
+
+    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(np.bool_)
+
+
+def _postings(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Distinct (token, id) of the prefix shingles that several classes share; id is the class."""
+    marked = np.packbits(bit_map(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marked).astype(np.bool_)
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy()
+            keep = bits[_bit(tokens)]
+            classes = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(classes[keep])], names=["token", "id"])
+
+    return rows.select("class", "prefix").mapInArrow(run, "token long, id long").distinct().join(shared, "token").select("token", "id")
 
 
 def _whole_sets(source: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, set), the shingles as bytes, of the documents with a wanted id."""
+    """(class, set), the shingles as bytes, of the classes of a table (class, doc); read from the documents again."""
+    marked = np.packbits(bit_map(wanted.select("doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(marked).astype(np.bool_)
         for batch in batches:
+            batch = batch.filter(pa.array(bits[_bit(batch.column(0).to_numpy())]))
             for s in W.slices(batch.column(1)):
                 blobs = [x.tobytes() for x in sets_of(s, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(blobs)), pa.array(blobs, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(blobs)), pa.array(blobs, pa.binary())], names=["doc", "set"])
 
-    return source.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, set binary")
+    return source.where("id is not null").select("id", "text").mapInArrow(run, "doc long, set binary").join(wanted, "doc").select("class", "set")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link."""
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "doc"), "class")
+    sets = _whole_sets(source, checkpointed(wanted), size).persist(StorageLevel.MEMORY_AND_DISK)
+    left = sets.select(F.col("class").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +191,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * k >= percent * (len(x) + len(y) - k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    sets.unpersist()
+    return links
 
 
 def _possible(k: Column, percent: int) -> Column:
@@ -167,16 +218,18 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cells = frequent_cells(source.select("text"), size)
     rows = _prefixes(source, cells, size, percent).persist(StorageLevel.MEMORY_AND_DISK)
     known = rows.where("id is not null and n > 0")
-    grouped = known.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = checkpointed(grouped.select("s1", "s2", "id", "n", F.size("prefix").cast("long").alias("p"), "prefix"))
+    classes = checkpointed(known.groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n")))
 
-    postings = classes.select("id", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("token")
-    post = checkpointed(postings.join(shared, "token").select("token", "id"))
+    postings = known.select("class", F.explode("prefix").alias("token"))
+    shared = checkpointed(postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("token"))
+    post = checkpointed(_postings(known, shared))
     total = post.count()
     labels = checkpointed(post.select("id").distinct().select("id", F.col("id").alias("comp")))
-    sizes = classes.select("id", "n", "p")
-    sets = _whole_sets(source, labels.select("id"), size).persist(StorageLevel.MEMORY_AND_DISK)
+    # Sizes of sets and prefixes, and of each prefix the part that others share.
+    n = F.col("n")
+    prefix_size = n - F.floor((n * percent + 99) / 100) + 1
+    near = post.groupBy("id").agg(F.collect_list("token").alias("prefix")).join(classes.withColumnRenamed("class", "id"), "id").select("id", "n", prefix_size.cast("long").alias("p"), "prefix")
+    near = near.persist(StorageLevel.MEMORY_AND_DISK)
 
     for turn in range(ROUNDS + 1):
         live = post.join(labels, "id").select("token", "id", "comp")
@@ -185,17 +238,15 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not left:
             break
         last = left <= LEFT * total + 100_000 or turn == ROUNDS
-        if last:
-            pairs = _listed(live.join(counts.select("token"), "token", "left_semi"), sizes, percent)
-        else:
-            pairs = _stars(live, classes, turn, percent)
-        labels = _merged(labels, _verified(pairs, sets, percent))
+        pairs = _listed(live.join(counts.select("token"), "token", "left_semi"), near, percent) if last else _stars(live, near, turn, percent)
+        labels = _merged(labels, _verified(pairs, classes, source, size, percent))
         if last:
             break
 
-    of_class = classes.select("s1", "s2", F.col("id").alias("class")).join(labels.withColumnRenamed("id", "class"), "class", "left").select("s1", "s2", F.coalesce("comp", "class").alias("comp"))
-    out = rows.select("id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id")).alias("component"))
+    least = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("class", "doc", F.coalesce("comp", "class").alias("comp"))
+    smallest = least.groupBy("comp").agg(F.min("doc").alias("component"))
+    out = rows.select("id", "n", "class").join(least.select("class", "comp"), "class", "left").join(smallest, "comp", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def _stars(live: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
