@@ -8,15 +8,18 @@ reachable by links.
 
 1. Equal sets are one class, known by a 64-bit signature; copies are combined before the
    shuffle.
-2. Shingles have one global order: by a count sketch of fixed width, frequent ones last,
-   then by hash. The first n - ceil(percent * n) + 1 shingles of a set must hold one of any
+2. Shingles have one global order: those that crowd (see 3) last, then by a count sketch of
+   fixed width, frequent ones last, then by hash. The first n - ceil(percent * n) + 1 shingles of a set must hold one of any
    set that links with it; a prefix longer by l - 1 must share l.
-3. Classes that share a prefix shingle are candidates. A candidate pair's prefixes are as
+3. Prefixes are made twice. Those by the sketch tell, for each of their shingles, how many
+   classes share it, which is what it costs in candidates; shingles that more than
+   ``CROWDED`` share go to the end of the order, and the prefixes that held them reach
+   further instead. Classes that share a prefix shingle are candidates. A candidate pair's prefixes are as
    long as its sets ask for, and must share as many shingles as leave the missing
    part small enough: k + max(rest) >= overlap needed. Only pairs that pass are verified on
    the whole sets.
-4. Pairs within a group are not all made. Rounds of stars, in which each prefix shingle
-   compares its classes with one of them, join what is alike; classes that are in one
+4. Pairs within a group are not all made. Rounds of stars, in which each shingle that still
+   crowds compares its classes with one of them, join what is alike; classes that are in one
    component already are not compared. The estimated cost of what is left, by component,
    decides when the pairs between different components are listed and verified once for
    all, which makes the result exact.
@@ -46,8 +49,10 @@ CELLS, FREQUENT = 1 << 22, 8
 MOST_CELLS = 200_000
 #: Bits of the bit maps by which rows are dropped early that a join would drop anyway.
 BITS = 1 << 23
-#: Pairs left per posting up to which they are listed, and rounds of stars before that.
-LEFT, ROUNDS = 8, 6
+#: Pairs left per posting, and beside these, up to which they are listed; rounds of stars before that.
+LEFT, LEAST, ROUNDS = 8, 100_000, 6
+#: Classes that share a prefix shingle, above which it crowds.
+CROWDED = 64
 
 
 def sets_of(s: W.Slice, size: int) -> Iterator[np.ndarray]:
@@ -96,12 +101,13 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def _prefixes(source: DataFrame, cells: np.ndarray, size: int, percent: int) -> DataFrame:
+def _prefixes(source: DataFrame, cells: np.ndarray, crowded: np.ndarray, size: int, percent: int) -> DataFrame:
     """id, n, signature and prefix of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(CELLS, np.int32)
         rank[cells] = np.arange(1, len(cells) + 1)
+        late = np.unpackbits(crowded).astype(np.int32) * (CELLS + 1)
         for batch in batches:
             for s in W.slices(batch.column(1)):
                 n, sign, prefix = [], [], []
@@ -109,7 +115,7 @@ def _prefixes(source: DataFrame, cells: np.ndarray, size: int, percent: int) ->
                     n.append(len(x))
                     sign.append(int(W.mix(W.mix(x).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))[0]))
                     take = len(x) - needed(len(x), percent) + 1 if len(x) else 0
-                    prefix.append(x[np.argsort(rank[_cell(x)], kind="stable")[:take]])
+                    prefix.append(x[np.argsort(rank[_cell(x)] + late[_bit(x)], kind="stable")[:take]])
                 signs = pa.array(np.array(sign, W.U64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), signs, _lists(prefix)], names=["id", "n", "class", "prefix"])
 
@@ -216,8 +222,11 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """id, n_shingles, component of each row."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     cells = frequent_cells(source.select("text"), size)
-    rows = _prefixes(source, cells, size, percent).persist(StorageLevel.MEMORY_AND_DISK)
-    known = rows.where("id is not null and n > 0")
+    none = np.packbits(np.zeros(BITS, np.bool_))
+    first = _known(_prefixes(source, cells, none, size, percent)).select("class", F.explode("prefix").alias("token")).distinct()
+    crowded = np.packbits(bit_map(first.groupBy("token").count().where(F.col("count") > CROWDED).select("token")))
+    rows = _prefixes(source, cells, crowded, size, percent).persist(StorageLevel.MEMORY_AND_DISK)
+    known = _known(rows)
     classes = checkpointed(known.groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n")))
 
     postings = known.select("class", F.explode("prefix").alias("token"))
@@ -231,14 +240,21 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = post.groupBy("id").agg(F.collect_list("token").alias("prefix")).join(classes.withColumnRenamed("class", "id"), "id").select("id", "n", prefix_size.cast("long").alias("p"), "prefix")
     near = near.persist(StorageLevel.MEMORY_AND_DISK)
 
+    before = None
     for turn in range(ROUNDS + 1):
         live = post.join(labels, "id").select("token", "id", "comp")
         counts = live.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-        left = counts.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+        counts = counts.withColumn("left", (F.col("m") * F.col("m") - F.col("q")) / 2)
+        left, crowding = counts.agg(F.sum("left"), F.sum(F.when(F.col("m") > CROWDED, F.col("left")))).first()
         if not left:
             break
-        last = left <= LEFT * total + 100_000 or turn == ROUNDS
-        pairs = _listed(live.join(counts.select("token"), "token", "left_semi"), near, percent) if last else _stars(live, near, turn, percent)
+        # Stars pay as long as they lessen what the crowding shingles would cost.
+        last = (crowding or 0) <= LEFT * total + LEAST or turn == ROUNDS or (before is not None and crowding > 0.7 * before)
+        before = crowding
+        if last:
+            pairs = _listed(live.join(counts.select("token"), "token", "left_semi"), near, percent)
+        else:
+            pairs = _stars(live.join(counts.where(F.col("m") > CROWDED).select("token"), "token", "left_semi"), near, turn, percent)
         labels = _merged(labels, _verified(pairs, classes, source, size, percent))
         if last:
             break
@@ -249,6 +265,10 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where("id is not null and n > 0")
+
+
 def _stars(live: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """Of each prefix shingle, one class against those of other components, if their prefixes allow a link."""
     order = F.xxhash64(F.col("id"), F.lit(turn)) if turn else F.col("id")
