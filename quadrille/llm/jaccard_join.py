@@ -16,8 +16,9 @@ reachable by links.
    ``CROWDED`` share go to the end of the order, and the prefixes that held them reach
    further instead. Classes that share a prefix shingle are candidates. A candidate pair's prefixes are as
    long as its sets ask for, and must share as many shingles as leave the missing
-   part small enough: k + max(rest) >= overlap needed. Only pairs that pass are verified on
-   the whole sets.
+   part small enough: k + max(rest) >= overlap needed. Each set has a parity sketch: a bit
+   flips for each of its shingles, so two sketches differ in no more bits than the sets do
+   in shingles. Only pairs whose sketches allow a link are verified on the whole sets.
 4. Pairs within a group are not all made. Rounds of stars, in which each shingle that still
    crowds compares its classes with one of them, join what is alike; classes that are in one
    component already are not compared. The estimated cost of what is left, by component,
@@ -49,6 +50,8 @@ CELLS, FREQUENT = 1 << 22, 8
 MOST_CELLS = 200_000
 #: Bits of the bit maps by which rows are dropped early that a join would drop anyway.
 BITS = 1 << 23
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 #: Pairs left per posting, and beside these, up to which they are listed; rounds of stars before that.
 LEFT, LEAST, ROUNDS = 8, 100_000, 6
 #: Classes that share a prefix shingle, above which it crowds.
@@ -101,8 +104,18 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
+def signature(x: np.ndarray) -> np.ndarray:
+    """64 bits for a set of shingles, as an array of one."""
+    return W.mix(W.mix(x).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))
+
+
+def parity(x: np.ndarray) -> bytes:
+    """Of each of SKETCH cells, whether it holds an odd number of the shingles."""
+    return np.packbits(np.bincount((W.mix(x) >> W.U64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1 == 1).tobytes()
+
+
 def _prefixes(source: DataFrame, cells: np.ndarray, crowded: np.ndarray, size: int, percent: int) -> DataFrame:
-    """id, n, signature and prefix of each document."""
+    """id, n, signature, prefix and parity sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(CELLS, np.int32)
@@ -110,16 +123,17 @@ def _prefixes(source: DataFrame, cells: np.ndarray, crowded: np.ndarray, size: i
         late = np.unpackbits(crowded).astype(np.int32) * (CELLS + 1)
         for batch in batches:
             for s in W.slices(batch.column(1)):
-                n, sign, prefix = [], [], []
+                n, sign, prefix, sketch = [], [], [], []
                 for x in sets_of(s, size):
                     n.append(len(x))
-                    sign.append(int(W.mix(W.mix(x).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))[0]))
+                    sign.append(int(signature(x)[0]))
+                    sketch.append(parity(x))
                     take = len(x) - needed(len(x), percent) + 1 if len(x) else 0
                     prefix.append(x[np.argsort(rank[_cell(x)] + late[_bit(x)], kind="stable")[:take]])
                 signs = pa.array(np.array(sign, W.U64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), signs, _lists(prefix)], names=["id", "n", "class", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), signs, _lists(prefix), pa.array(sketch, pa.binary())], names=["id", "n", "class", "prefix", "sketch"])
 
-    return source.mapInArrow(run, "id long, n long, class long, prefix array<long>")
+    return source.mapInArrow(run, "id long, n long, class long, prefix array<long>, sketch binary")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -164,28 +178,48 @@ def _postings(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.select("class", "prefix").mapInArrow(run, "token long, id long").distinct().join(shared, "token").select("token", "id")
 
 
-def _whole_sets(source: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, set), the shingles as bytes, of the classes of a table (class, doc); read from the documents again."""
-    marked = np.packbits(bit_map(wanted.select("doc")))
+def _whole_sets(source: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc, class, set), the shingles as bytes, of the documents of a table (doc) and few others; read again."""
+    marked = np.packbits(bit_map(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(marked).astype(np.bool_)
         for batch in batches:
             batch = batch.filter(pa.array(bits[_bit(batch.column(0).to_numpy())]))
             for s in W.slices(batch.column(1)):
-                blobs = [x.tobytes() for x in sets_of(s, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(blobs)), pa.array(blobs, pa.binary())], names=["doc", "set"])
+                sign, blobs = [], []
+                for x in sets_of(s, size):
+                    sign.append(signature(x))
+                    blobs.append(x.tobytes())
+                signs = pa.array(np.concatenate(sign).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(blobs)), signs, pa.array(blobs, pa.binary())], names=["doc", "class", "set"])
+
+    return source.where("id is not null").select("id", "text").mapInArrow(run, "doc long, class long, set binary")
+
+
+def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, da, b, db): the pairs whose parity sketches allow a link, with a document of each class."""
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), W.U64).reshape(-1, SKETCH // 64) for c in ("sa", "sb"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            # A link shares k of both with 100 k >= percent (both - k), and both - 2 k shingles differ.
+            keep = apart <= both + 2 * (-both * percent // (100 + percent))
+            yield batch.select(["a", "da", "b", "db"]).filter(pa.array(keep))
 
-    return source.where("id is not null").select("id", "text").mapInArrow(run, "doc long, set binary").join(wanted, "doc").select("class", "set")
+    return pairs.select("a", "da", "na", "sa", "b", "db", "nb", "sb").mapInArrow(run, "a long, da long, b long, db long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "doc"), "class")
-    sets = _whole_sets(source, checkpointed(wanted), size).persist(StorageLevel.MEMORY_AND_DISK)
-    left = sets.select(F.col("class").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
+    pairs = checkpointed(_allowed(pairs, classes, percent))
+    sets = _whole_sets(source, pairs.select(F.col("da").alias("doc")).union(pairs.select("db")), size).persist(StorageLevel.MEMORY_AND_DISK)
+    left = sets.select(F.col("doc").alias("da"), F.col("class").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("doc").alias("db"), F.col("class").alias("b"), F.col("set").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +231,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int
                 keep[i] = 100 * k >= percent * (len(x) + len(y) - k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    links = checkpointed(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    links = checkpointed(pairs.join(left, ["a", "da"]).join(right, ["b", "db"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
     sets.unpersist()
     return links
 
@@ -227,7 +261,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crowded = np.packbits(bit_map(first.groupBy("token").count().where(F.col("count") > CROWDED).select("token")))
     rows = _prefixes(source, cells, crowded, size, percent).persist(StorageLevel.MEMORY_AND_DISK)
     known = _known(rows)
-    classes = checkpointed(known.groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n")))
+    classes = checkpointed(known.groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     postings = known.select("class", F.explode("prefix").alias("token"))
     shared = checkpointed(postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("token"))
@@ -237,7 +271,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Sizes of sets and prefixes, and of each prefix the part that others share.
     n = F.col("n")
     prefix_size = n - F.floor((n * percent + 99) / 100) + 1
-    near = post.groupBy("id").agg(F.collect_list("token").alias("prefix")).join(classes.withColumnRenamed("class", "id"), "id").select("id", "n", prefix_size.cast("long").alias("p"), "prefix")
+    near = post.groupBy("id").agg(F.collect_list("token").alias("prefix")).join(classes.select(F.col("class").alias("id"), "n"), "id").select("id", "n", prefix_size.cast("long").alias("p"), "prefix")
     near = near.persist(StorageLevel.MEMORY_AND_DISK)
 
     before = None
