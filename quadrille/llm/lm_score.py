@@ -4,14 +4,18 @@ Tokens are words (between ASCII white space, A-Z lowered). The ``KNOWN`` most fr
 of the whole corpus have numbers of their own; other words share ``HASHED`` numbers by hash.
 The network sees the two tokens before and the two after a masked one, each embedded and
 weighted by place, and gives the masked token's probability in two steps: its group, then
-the token in the group. A document's score is the sum of all its tokens' conditional
-log-probabilities, and the mean of that.
+the token in the group. A third step gives a word its share of the number it has in common
+with others, c / (C + 1) by the corpus counts c of the word and C of the number; the 1 is
+for words that the corpus does not hold. So each distinct word has a probability of its own,
+however many there are, and all add up to one. A document's score is the sum of all its
+tokens' conditional log-probabilities, and the mean of that.
 
 Training runs where the text is: each partition trains from the same start on every
 ``STRIDE``-th token of each of its documents, and the parameters are averaged by token
 counts in a tree of tasks of ``FAN`` each. So what is counted, trained on and gathered grows
-with the corpus, while the driver only ever holds the vocabulary and one set of parameters,
-both of fixed size.
+with the corpus, while the driver only ever holds the known words and one set of parameters,
+both of fixed size. The counts of the other words stay a table, which the rare words of the
+documents are joined with; texts are known there by a 64-bit hash.
 
 Null and empty texts have no tokens, log-probability 0 and a null mean; repeated rows score
 alike; an empty corpus leaves the untrained network; other columns go through, and those
@@ -31,6 +35,7 @@ from pyspark.sql import types as T
 
 from . import text as W
 from .columns import with_text_columns
+from .components import checkpointed
 
 GROUPS, IN_GROUP, HASHED, DIM = 64, 64, 64, 16
 TOKENS = GROUPS * IN_GROUP
@@ -42,11 +47,16 @@ STRIDE, BATCH, RATE, FAN = 16, 2048, 0.08, 16
 
 @dataclass
 class Vocabulary:
-    """Hashes of the known words in ascending order, their numbers, and all tokens' counts."""
+    """Hashes of the known words in ascending order, their numbers, all tokens' counts, and (hash, count) of every word."""
 
     hashes: np.ndarray
     numbers: np.ndarray
     counts: np.ndarray
+    table: DataFrame | None
+
+    def __getstate__(self) -> dict:
+        """Tasks get all but the table."""
+        return {**self.__dict__, "table": None}
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         rest = KNOWN + (hashes % W.U64(HASHED)).astype(np.int64)
@@ -84,15 +94,42 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
     """The most frequent words; the counts of the others are added up by shared number."""
-    counts = count_words(texts)
+    counts = checkpointed(count_words(texts))
     top = counts.orderBy(F.desc("count"), "hash").limit(KNOWN).collect()
-    total = counts.agg(F.sum("count")).first()[0] or 0
     h = np.array([r["hash"] for r in top], np.int64).view(W.U64)
     c = np.zeros(TOKENS)
     c[: len(top)] = [r["count"] for r in top]
-    c[KNOWN:] = max(0, total - c.sum()) / HASHED
+    for r in counts.groupBy(F.col("hash").bitwiseAND(HASHED - 1).alias("rest")).agg(F.sum("count").alias("count")).collect():
+        c[KNOWN + r["rest"]] = r["count"]
+    np.subtract.at(c, KNOWN + (h % W.U64(HASHED)).astype(np.int64), c[: len(top)])
     order = np.argsort(h)
-    return Vocabulary(h[order], order, c)
+    return Vocabulary(h[order], order, c, counts)
+
+
+def rare_words(texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(key, hash, n): how often each text (key, text) holds each word that has no number of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for s in W.slices(batch.column(1)):
+                w = W.words(s, lower=True)
+                rare = np.flatnonzero(words.tokens(w.hashes) >= KNOWN)
+                row, h = np.searchsorted(w.bounds, rare, "right") - 1, w.hashes[rare]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)])
+                n = np.diff(np.r_[first, len(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s.first + row[first]]), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "hash", "n"])
+
+    return texts.mapInArrow(run, "key long, hash long, n long")
+
+
+def rare_logs(texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(key, rare): the mean log count of the rare words of each text (key, text); copies share a key and a mean."""
+    found = rare_words(texts, words).join(words.table, "hash", "left")
+    log = F.log(F.coalesce(F.col("count"), F.lit(1)).cast("double"))
+    return found.groupBy("key").agg((F.sum(F.col("n") * log) / F.sum("n")).alias("rare"))
 
 
 class Network:
@@ -242,13 +279,17 @@ def _blob(total: np.ndarray, n: int) -> pa.RecordBatch:
 
 def score(docs: DataFrame, words: Vocabulary, parameters: np.ndarray, keep: Sequence[str] | None = None, text: str = "text") -> DataFrame:
     """Adds n_tokens long, log_prob double and mean_log_prob double."""
-    added = [T.StructField("n_tokens", T.LongType(), False), T.StructField("log_prob", T.DoubleType(), False), T.StructField("mean_log_prob", T.DoubleType())]
+    names = ("n_tokens", "log_prob", "mean_log_prob")
+    added = [T.StructField("n_tokens", T.LongType(), False), T.StructField("log_prob", T.DoubleType(), False), T.StructField("__n_rare", T.LongType(), False)]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    share = np.zeros(TOKENS)
+    share[KNOWN:] = np.log(words.counts[KNOWN:] + 1)
 
     def make():
         net = Network(parameters)
 
         def kernel(column: pa.Array):
-            n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
+            n, total, n_rare = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column), np.int64)
             for s in W.slices(column):
                 w = W.words(s, lower=True)
                 tokens, rows = words.tokens(w.hashes), len(w.bounds) - 1
@@ -258,13 +299,18 @@ def score(docs: DataFrame, words: Vocabulary, parameters: np.ndarray, keep: Sequ
                     logs[some] = net.log_probabilities(contexts(tokens, w.bounds, some), tokens[some])
                 row = np.repeat(np.arange(rows), np.diff(w.bounds))
                 n[s.first : s.first + rows] = np.diff(w.bounds)
-                total[s.first : s.first + rows] = np.bincount(row, logs, rows)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            return pa.array(n), pa.array(total), mean
+                total[s.first : s.first + rows] = np.bincount(row, logs - share[tokens], rows)
+                n_rare[s.first : s.first + rows] = np.bincount(row[tokens >= KNOWN], minlength=rows)
+            return pa.array(n), pa.array(total), pa.array(n_rare)
 
         return kernel
 
-    return with_text_columns(docs, text, keep, added, make)
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    out = with_text_columns(keyed, text, [*rest, "__key"], added, make)
+    rare = rare_logs(keyed.select(F.col("__key").alias("key"), F.col(f"`{text}`").cast("string").alias("text")), words)
+    log_prob = F.col("log_prob") + F.col("__n_rare") * F.coalesce("rare", F.lit(0.0))
+    out = out.join(rare, F.col("__key") == F.col("key"), "left").withColumn("log_prob", log_prob)
+    return out.select(*(F.col(f"`{c}`") for c in rest), "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def score_corpus(docs: DataFrame, keep: Sequence[str] | None = None, text: str = "text") -> DataFrame:

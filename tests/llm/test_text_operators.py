@@ -251,5 +251,23 @@ def test_language_model(spark, odd):
     assert lm_score.score_corpus(odd.limit(0)).count() == 0
 
 
+def test_each_word_has_its_own_probability(spark):
+    rare = lm_score.KNOWN + 300
+    rows = [" ".join(f"k{i}" for i in range(lm_score.KNOWN)) for _ in range(8)] + [" ".join(f"r{i}" for i in range(rare) for _ in range(1 + i % 3))] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    words = lm_score.vocabulary(docs.select("text"))
+    start = lm_score.Network.start(words.counts).flat
+    assert words.counts.sum() == sum(len(t.split()) for t in rows)
+    alone = [f"k{i}" for i in range(lm_score.KNOWN)] + [f"r{i}" for i in range(rare)]
+    logs = {x["text"]: x["log_prob"] for x in lm_score.score(spark.createDataFrame([(w,) for w in [*alone, *alone[-9:], "unseen"]], "text string"), words, start).collect()}
+    # All words of the corpus, and one unseen word for each shared number, add up to one.
+    unseen = (np.exp(lm_score.Network(start).log_probabilities(np.full((lm_score.HASHED, 4), lm_score.PAD), np.arange(lm_score.KNOWN, lm_score.TOKENS))) / (words.counts[lm_score.KNOWN :] + 1)).sum()
+    assert sum(np.exp(logs[w]) for w in alone) + unseen == pytest.approx(1, abs=1e-3)
+    # Rarer is less likely, and known words are likelier than all of them.
+    assert logs["unseen"] < max(logs[f"r{i}"] for i in range(rare)) < min(logs[f"k{i}"] for i in range(lm_score.KNOWN))
+    full = lm_score.score(docs, words, start, ["doc_id"]).collect()
+    assert len(full) == 10 and len({x["log_prob"] for x in full if x["doc_id"] >= 8}) == 1
+
+
 def test_kept_words_digest():
     assert substring_dedup.brute_force(["a  b\n"]) == [(2, 0, hashlib.sha256(b"a b").hexdigest())]
