@@ -10,9 +10,9 @@ for words that the corpus does not hold. So each distinct word has a probability
 however many there are, and all add up to one. A document's score is the sum of all its
 tokens' conditional log-probabilities, and the mean of that.
 
-Training runs where the text is: each partition trains from the same start on every
-``STRIDE``-th token of each of its documents, and the parameters are averaged by token
-counts in a tree of tasks of ``FAN`` each. So what is counted, trained on and gathered grows
+Training runs where the text is: each partition trains from the same start on every token of
+each of its documents, in one pass, and the parameters are averaged by token counts in a tree
+of tasks of ``FAN`` each. So what is counted, trained on and gathered grows
 with the corpus, while the driver only ever holds the known words and one set of parameters,
 both of fixed size. The counts of the other words stay a table, which the rare words of the
 documents are joined with; texts are known there by a 64-bit hash.
@@ -42,7 +42,7 @@ TOKENS = GROUPS * IN_GROUP
 KNOWN = TOKENS - HASHED
 PAD = TOKENS
 PLACES = (-2, -1, 1, 2)
-STRIDE, BATCH, RATE, FAN = 16, 2048, 0.08, 16
+BATCH, RATE, FAN = 2048, 0.08, 16
 
 
 @dataclass
@@ -168,7 +168,8 @@ class Network:
         h = self.hidden(context)
         group, inner = target // IN_GROUP, target % IN_GROUP
         logits = h @ self.group + self.group_bias
-        out = logits[np.arange(len(h)), group] - _log_sum(logits)
+        out = logits[np.arange(len(h)), group]
+        out -= _log_sum(logits)
         order = np.argsort(group, kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS))
         first = 0
@@ -176,7 +177,8 @@ class Network:
             if end > first:
                 rows = order[first:end]
                 logits = h[rows] @ self.word[g] + self.word_bias[g]
-                out[rows] += logits[np.arange(len(rows)), inner[rows]] - _log_sum(logits)
+                own = logits[np.arange(len(rows)), inner[rows]]
+                out[rows] += own - _log_sum(logits)
             first = end
         return out
 
@@ -184,41 +186,53 @@ class Network:
         """One AdaGrad step on a batch; seen: sums of squared gradients, as the parameters."""
         n = len(target)
         grad = Network(np.zeros_like(self.flat))
+        # By group, so that each group's rows are one slice.
+        order = np.argsort(target // IN_GROUP, kind="stable")
+        context, target = context[order], target[order]
         h = self.hidden(context)
         group, inner = target // IN_GROUP, target % IN_GROUP
         p = _softmax(h @ self.group + self.group_bias)
         p[np.arange(n), group] -= 1
         grad.group[:], grad.group_bias[:] = h.T @ p, p.sum(0)
         dh = p @ self.group.T
-        order = np.argsort(group, kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS))
         first = 0
         for g, end in enumerate(ends.tolist()):
             if end > first:
-                rows = order[first:end]
-                q = _softmax(h[rows] @ self.word[g] + self.word_bias[g])
-                q[np.arange(len(rows)), inner[rows]] -= 1
-                grad.word[g], grad.word_bias[g] = h[rows].T @ q, q.sum(0)
-                dh[rows] += q @ self.word[g].T
+                q = h[first:end] @ self.word[g]
+                q += self.word_bias[g]
+                q = _softmax(q)
+                q[np.arange(end - first), inner[first:end]] -= 1
+                grad.word[g], grad.word_bias[g] = h[first:end].T @ q, q.sum(0)
+                dh[first:end] += q @ self.word[g].T
             first = end
         dh *= 1 - h * h
         for k in range(len(PLACES)):
-            grad.place[k] = (dh * self.embed[context[:, k]]).sum(0)
-            np.add.at(grad.embed, context[:, k], dh * self.place[k])
+            grad.place[k] = np.einsum("ij,ij->j", dh, self.embed[context[:, k]])
+        # Flat, as adding by places is several times faster in one dimension.
+        at = context[:, :, None] * DIM + np.arange(DIM)
+        np.add.at(grad.embed.reshape(-1), at.reshape(-1), (dh[:, None, :] * self.place).reshape(-1))
         grad.embed[PAD] = 0
         grad.flat /= n
         seen += grad.flat**2
-        self.flat -= rate * grad.flat / (np.sqrt(seen) + 1e-4)
+        grad.flat *= rate
+        grad.flat /= np.sqrt(seen) + 1e-4
+        self.flat -= grad.flat
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row; overwrites x."""
     top = x.max(1, keepdims=True)
-    return np.log(np.exp(x - top).sum(1)) + top[:, 0]
+    x -= top
+    return np.log(np.exp(x, out=x).sum(1)) + top[:, 0]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """Of each row; overwrites x."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def contexts(tokens: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -244,13 +258,9 @@ def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
                 if not len(w.hashes):
                     continue
                 tokens = words.tokens(w.hashes)
-                # Each document starts at a place of its own.
-                inside = np.arange(len(tokens)) - np.repeat(w.bounds[:-1], np.diff(w.bounds))
-                phase = np.repeat((w.hashes[np.minimum(w.bounds[:-1], len(tokens) - 1)] % W.U64(STRIDE)).astype(np.int64), np.diff(w.bounds))
-                at = np.flatnonzero((inside + phase) % STRIDE == 0)
                 n += len(tokens)
-                for i in range(0, len(at), BATCH):
-                    some = at[i : i + BATCH]
+                for i in range(0, len(tokens), BATCH):
+                    some = np.arange(i, min(i + BATCH, len(tokens)))
                     net.step(contexts(tokens, w.bounds, some), tokens[some], RATE, seen)
         yield _blob(net.flat * np.float64(n), n)
 

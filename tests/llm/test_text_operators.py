@@ -269,5 +269,22 @@ def test_each_word_has_its_own_probability(spark):
     assert len(full) == 10 and len({x["log_prob"] for x in full if x["doc_id"] >= 8}) == 1
 
 
+def test_every_token_trains(spark):
+    # A short text of words of its own: the parameters of each of its words change.
+    rows = [f"a{i} b{i} c{i}" for i in range(30)]
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(1)
+    words = lm_score.vocabulary(texts)
+    start, trained = lm_score.Network.start(words.counts).flat, lm_score.train(texts, words)
+    (s,) = text.slices(pa.array([" ".join(rows)]))
+    number = words.tokens(text.words(s, lower=True).hashes)
+    biases = lambda flat: lm_score.Network(flat).word_bias.reshape(-1)[number]
+    assert (biases(trained) != biases(start)).all()
+    # The same steps on all tokens give the same parameters.
+    net, seen = lm_score.Network(start.copy()), np.zeros_like(start)
+    w = text.words(next(text.slices(pa.array([r["text"] for r in texts.collect()]))), lower=True)
+    net.step(lm_score.contexts(words.tokens(w.hashes), w.bounds, np.arange(90)), words.tokens(w.hashes), lm_score.RATE, seen)
+    assert np.allclose(net.flat, trained, atol=1e-5)
+
+
 def test_kept_words_digest():
     assert substring_dedup.brute_force(["a  b\n"]) == [(2, 0, hashlib.sha256(b"a b").hexdigest())]
