@@ -25,8 +25,8 @@ reachable by links.
    decides when the pairs between different components are listed and verified once for
    all, which makes the result exact.
 
-Ids identify documents: rows of one id count as linked with each other; rows with a null id
-take no part and get a null component. Null texts are empty; an empty table stays empty;
+Ids identify documents: rows of one id count as linked with each other, those without words
+too; rows with a null id take no part and get a null component. Null texts are empty; an empty table stays empty;
 other columns are not read; texts are taken whole at any length.
 """
 
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as W
@@ -267,7 +267,11 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = checkpointed(postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("token"))
     post = checkpointed(_postings(known, shared))
     total = post.count()
-    labels = checkpointed(post.select("id").distinct().select("id", F.col("id").alias("comp")))
+    same = _of_one_id(known)
+    nodes = post.select("id").union(same.select("a")).union(same.select("b"))
+    labels = checkpointed(nodes.distinct().select("id", F.col("id").alias("comp")))
+    if not same.isEmpty():
+        labels = _merged(labels, same)
     # Sizes of sets and prefixes, and of each prefix the part that others share.
     n = F.col("n")
     prefix_size = n - F.floor((n * percent + 99) / 100) + 1
@@ -295,14 +299,22 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     least = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("class", "doc", F.coalesce("comp", "class").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("doc").alias("component"))
-    out = rows.select("id", "n", "class").join(least.select("class", "comp"), "class", "left").join(smallest, "comp", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
+    # By id, as rows without words follow those of their id; all classes of an id are in one component.
+    of_id = known.select("id", "class").join(least.select("class", "comp"), "class").join(smallest, "comp").groupBy("id").agg(F.min("component").alias("component"))
+    out = rows.select("id", "n").join(of_id, "id", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
 def _known(rows: DataFrame) -> DataFrame:
     return rows.where("id is not null and n > 0")
 
 
+def _of_one_id(known: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of rows that share an id."""
+    several = known.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("hi")).where("a != hi")
+    return checkpointed(known.select("id", F.col("class").alias("b")).join(several.select("id", "a"), "id").where("a != b").select("a", "b").distinct())
+
+
 def _stars(live: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """Of each prefix shingle, one class against those of other components, if their prefixes allow a link."""
     order = F.xxhash64(F.col("id"), F.lit(turn)) if turn else F.col("id")
@@ -324,12 +336,21 @@ def _listed(live: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the component's id; of repeated rows the first by text.
+    """One row of each component, that with the component's id; of several rows of that id the first by text.
 
-    Rows with a null id and empty documents stay.
+    Rows with a null id take part here, known by their text, and give way to rows with an
+    id. Rows without words go only where another row has their id, and before those with words.
     """
-    found = join_components(docs, doc_id, text, size, percent).where("id is not null and id != component").select("id").distinct()
-    return docs.join(found, F.col(f"`{doc_id}`").cast("long") == F.col("id"), "left_anti")
+    words = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Of a null id, a hash of the text beyond usual ids; none without words, as these link with nothing.
+    of_text = F.when(words, F.xxhash64(F.col(f"`{text}`").cast("string")).bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(f"`{doc_id}`").cast("long"), of_text))
+    found = checkpointed(join_components(keyed, "__key", text, size, percent).where("id is not null").select("id", "component"))
+    keyed = keyed.join(found.where("id != component").select("id").distinct(), F.col("__key") == F.col("id"), "left_anti")
+    repeated = found.where("id = component").groupBy("id").count().where("count > 1").select("id")
+    order = Window.partitionBy("__key").orderBy(words.desc(), F.col(f"`{text}`"))
+    firsts = keyed.join(repeated, F.col("__key") == F.col("id"), "left_semi").withColumn("__at", F.row_number().over(order)).where("__at = 1")
+    return keyed.join(repeated, F.col("__key") == F.col("id"), "left_anti").select(docs.columns).unionAll(firsts.select(docs.columns))
 
 
 def brute_force(ids: list[int], texts: list[str | None], size: int = SIZE, percent: int = PERCENT) -> list[tuple[int, int, int]]:

@@ -52,3 +52,14 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert sum(substring_dedup.brute_force(list(left.values()))[k][1] for k in range(len(left))) > 0 and len(want) < len(left) < 40
     got = {x["doc_id"]: list(x["ids"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_repeated_rows_leave_one_text(spark, tmp_path):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "mno"]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    got = sorted((str(x["doc_id"]), list(x["ids"])) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == [("1", model.encode(texts[0])), ("4", model.encode(texts[2])), ("None", model.encode(texts[1]))]

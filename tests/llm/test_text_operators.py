@@ -174,6 +174,21 @@ def test_join_matches_brute_force(spark, odd):
     assert jaccard_join.join_components(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "stuv")
+    rows = [(3, one), (5, one), (5, two), (7, two), (9, three), (9, three), (None, four), (None, four), (None, four + " end"), (None, one), (11, ""), (11, None), (None, ""), (None, ""), (9, " ")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    got = {(x["id"], x["n_shingles"], x["component"]) for x in jaccard_join.join_components(docs).collect()}
+    known = [r for r in rows if r[0] is not None]
+    assert {x for x in got if x[0] is not None} == set(jaccard_join.brute_force([i for i, _ in known], [t for _, t in known]))
+    assert (7, 37, 3) in got and all(c is None for i, _, c in got if i is None)
+    kept = [(x["doc_id"], x["text"]) for x in jaccard_join.keep_one(docs).collect()]
+    fours = [x for x in kept if x[0] is None and x[1]]
+    assert len(fours) == 1 and fours[0][1].startswith(four)
+    assert sorted([x for x in kept if x[0] in (3, 5, 7, 9)]) == [(3, one), (9, three)]
+    assert len([x for x in kept if x[0] == 11]) == 1 and kept.count((None, "")) == 2 and len(kept) == 6
+
+
 def test_licenses(spark, odd):
     rows = [(1, "Code UNDER the MIT-License; under the mit license"), (2, "Apache License, Version 2.0"), (3, "CC BY-NC cc by"), (4, "mit dem under the mit"), (5, None)]
     out = licenses.summary(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
