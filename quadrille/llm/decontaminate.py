@@ -11,8 +11,9 @@ No document however long is missed, then, and each item's sketch stays a fifth o
 Documents with fewer shingles than the smallest item of a partition needs are not searched
 for that partition. Candidate pairs are verified on the shingles' texts.
 
-Null and empty texts, of items too, have no shingles and match nothing; repeated rows each
-get their results; an empty table on either side gives no pairs; other columns are not
+Null and empty texts, of items too, have no shingles and match nothing; repeated rows, of
+items too, each get their results, as do items with a null id, since items are known by a
+hash of id and text until the end; an empty table on either side gives no pairs; other columns are not
 read; texts are taken whole at any length.
 """
 
@@ -52,23 +53,23 @@ def _need(n: Column, share: float) -> Column:
 
 def items_of(benchmark: DataFrame, item_id: str, text: str, size: int, share: float) -> DataFrame:
     words = with_words(benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("__text")), "__text")
-    sets = words.where(F.size("__words") > 0).select("item_id", F.explode(F.array(F.array_distinct(shingle_texts(F.col("__words"), size)))).alias("item_shingles"))
+    sets = words.where(F.size("__words") > 0).select("item_id", F.xxhash64("item_id", "__text").alias("item_key"), F.explode(F.array(F.array_distinct(shingle_texts(F.col("__words"), size)))).alias("item_shingles"))
     n = F.size("item_shingles")
     return sets.select("*", n.cast("long").alias("n_item"), _need(n, share).cast("long").alias("need"), F.floor(F.log2(n.cast("double"))).cast("int").alias("size_class"))
 
 
 def candidates(docs: DataFrame, items: DataFrame, text: str, size: int) -> DataFrame:
-    """(doc key, item ids): each pair with a hash of the item's sketch in the document."""
+    """(doc key, item keys): each pair with a hash of the item's sketch in the document."""
     hashes = F.array_sort(F.transform("item_shingles", lambda s: F.xxhash64(s)))
-    sketch = items.select("item_id", "need", "size_class", F.explode(F.slice(hashes, 1, (F.col("n_item") - F.col("need") + 1).cast("int"))).alias("hash"))
+    sketch = items.select("item_key", "need", "size_class", F.explode(F.slice(hashes, 1, (F.col("n_item") - F.col("need") + 1).cast("int"))).alias("hash"))
     least = F.min("need").over(_by_class())
-    sketch = sketch.withColumn("least", least).select("item_id", "least", "hash")
+    sketch = sketch.withColumn("least", least).select("item_key", "least", "hash")
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
     sets = with_words(docs, text).select("__doc", "__text_hash", F.greatest(F.size("__words") - size + 1, F.lit(1)).alias("__n"), shingle_texts(F.col("__words"), size).alias("__shingles"))
     found = sets.select("__doc", "__text_hash", "__n", F.explode("__shingles").alias("__shingle")).withColumn("hash", F.xxhash64("__shingle"))
     found = found.join(sketch, "hash").where(F.col("__n") >= F.col("least"))
-    return found.groupBy("__doc", "__text_hash").agg(F.collect_set("item_id").alias("__items"))
+    return found.groupBy("__doc", "__text_hash").agg(F.collect_set("item_key").alias("__items"))
 
 
 def _by_class():
@@ -84,8 +85,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pairs = candidates(keyed.withColumnRenamed("__text", "text"), items, "text", size)
     near = keyed.alias("d").join(pairs.alias("p"), F.col("d.__text_hash").eqNullSafe(F.col("p.__text_hash")) & F.col("d.__doc").eqNullSafe(F.col("p.__doc")))
     near = with_words(near.select("d.__doc", "d.__text_hash", "p.__items", "d.__text"), "__text").select("__doc", "__text_hash", "__items", F.array_distinct(shingle_texts(F.col("__words"), size)).alias("__set"))
-    near = near.select("__doc", "__text_hash", "__set", F.explode("__items").alias("item_id"))
-    found = near.join(items, "item_id").select(
+    near = near.select("__doc", "__text_hash", "__set", F.explode("__items").alias("item_key"))
+    found = near.join(items, "item_key").select(
         F.col("__doc").alias("doc_id"), "item_id", "n_item", "need", F.size(F.array_intersect("item_shingles", "__set")).cast("long").alias("n_found"), F.col("__text_hash").alias("text_hash")
     )
     return found.where(F.col("n_found") >= F.col("need")).select("doc_id", "item_id", "n_item", "n_found", (F.col("n_found") / F.col("n_item")).alias("containment"), "text_hash")

@@ -225,6 +225,15 @@ def test_contamination(spark, odd):
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0 and decontaminate.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_items_with_null_ids_are_found(spark):
+    item, other = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "x y z"), (3, other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, item), (4, other)], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["n_found"]) for x in decontaminate.contamination(docs, bench).collect())
+    assert got == [(1, None, 8), (1, None, 8), (3, 4, 8)]
+    assert [x["doc_id"] for x in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
 def test_nearest_vectors(spark):
     g = np.random.default_rng(1)
     x = np.round(g.normal(size=(1500, 16)), 4)
