@@ -41,11 +41,14 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b): the smallest node reachable."""
+def components(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """(node, component) for the nodes of edges (a, b): the smallest node reachable. An error if that takes over ``most_steps``, where given."""
     now = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    for _ in range(most_steps):
+    mark, steps = None, 0
+    while True:
+        if most_steps is not None and steps >= most_steps:
+            raise RuntimeError(f"components not done after {steps} steps")
+        steps += 1
         now = checkpointed(_star(_star(now, True), False))
         # Stars only: every node has one edge, to a node that has none.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

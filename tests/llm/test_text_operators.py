@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from quadrille.llm import ann, decontaminate, jaccard_join, licenses, lm_score, pieces, quality, spm_codec, substring_dedup, text, token_counts, toxicity  # noqa: E402
+from quadrille.llm import ann, components, decontaminate, jaccard_join, licenses, lm_score, pieces, quality, spm_codec, substring_dedup, text, token_counts, toxicity  # noqa: E402
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  a  b\t\nc ", "x" * 5000, "word " * 3000, "é漢\x00 <s>▁▁ </s>", "same", "same"]
@@ -174,6 +174,13 @@ def test_join_matches_brute_force(spark, odd):
     assert jaccard_join.join_components(odd.limit(0)).count() == 0
 
 
+def test_components_are_done_or_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {x["component"] for x in components.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.components(chain, most_steps=1)
+
+
 def test_one_row_of_each_component_stays(spark):
     one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "stuv")
     rows = [(3, one), (5, one), (5, two), (7, two), (9, three), (9, three), (None, four), (None, four), (None, four + " end"), (None, one), (11, ""), (11, None), (None, ""), (None, ""), (9, " ")]
