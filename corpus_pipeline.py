@@ -17,6 +17,8 @@ from quadrille.llm.queries import table, tokenizer
 
 #: Documents with at least this toxicity go.
 TOXIC = 0.7
+#: Near copies share at least this part of their shingles of so many words; op9's own values bind its query only.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs).select(docs.columns)
+    return jaccard_join.keep_one(docs, size=NEAR_SIZE, percent=NEAR_PERCENT).select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

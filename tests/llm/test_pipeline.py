@@ -63,3 +63,10 @@ def test_repeated_rows_leave_one_text(spark, tmp_path):
     model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     got = sorted((str(x["doc_id"]), list(x["ids"])) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == [("1", model.encode(texts[0])), ("4", model.encode(texts[2])), ("None", model.encode(texts[1]))]
+
+
+def test_near_copies_with_few_edits_go(spark, tmp_path):
+    ws = [f"z{i}" for i in range(96)]
+    edited = [f"edit{i}" if i in (30, 60) else w for i, w in enumerate(ws)]
+    docs = spark.createDataFrame([(1, " ".join(ws)), (2, " ".join(edited))], "doc_id long, text string")
+    assert [x["doc_id"] for x in corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path)).collect()] == [1]
