@@ -6,28 +6,30 @@ the set is empty and links with nothing. Two documents link if 100 * intersectio
 percent * union. The result is each document's set size and component: the smallest id
 reachable by links.
 
-1. Equal sets are one class, known by a 64-bit signature; copies are combined before the
-   shuffle.
-2. Shingles have one global order: those that crowd (see 3) last, then by a count sketch of
-   fixed width, frequent ones last, then by hash. The first n - ceil(percent * n) + 1 shingles of a set must hold one of any
-   set that links with it; a prefix longer by l - 1 must share l.
-3. Prefixes are made twice. Those by the sketch tell, for each of their shingles, how many
-   classes share it, which is what it costs in candidates; shingles that more than
-   ``CROWDED`` share go to the end of the order, and the prefixes that held them reach
-   further instead. Classes that share a prefix shingle are candidates. A candidate pair's prefixes are as
-   long as its sets ask for, and must share as many shingles as leave the missing
-   part small enough: k + max(rest) >= overlap needed. Each set has a parity sketch: a bit
-   flips for each of its shingles, so two sketches differ in no more bits than the sets do
-   in shingles. Only pairs whose sketches allow a link are verified on the whole sets.
-4. Pairs within a group are not all made. Rounds of stars, in which each shingle that still
-   crowds compares its classes with one of them, join what is alike; classes that are in one
-   component already are not compared. The estimated cost of what is left, by component,
-   decides when the pairs between different components are listed and verified once for
-   all, which makes the result exact.
+1. Equal sets are one class, known by two 64-bit hashes; a clash of the first is noticed by
+   the second, and all is hashed anew. Copies give their prefix once a task.
+2. Shingles have one global order: those that a count sketch finds frequent come last, by
+   their counts. The first p = n - ceil(percent * n) + 1 shingles of a set hold one of any set
+   that links with it. A prefix longer by l - 1 must share l.
+3. The base prefixes are the index. A posting's block, the classes with its shingle, is its
+   estimated candidate cost. Up to ``SMALL`` the base prefix does (l = 1). Each doubling of
+   that cost doubles the length of the prefix which the class brings to the block, up to its
+   whole set (l = what a link must share), as a parity sketch: a bit flips for each of its
+   shingles, so two sketches differ in no more bits than the prefixes do in shingles.
+4. Pairs from small blocks, 28 a block at most, must share as many base shingles, added up
+   over blocks, as a link needs; pairs within larger blocks must share the l of their longer
+   prefixes by their sketches. All comparisons of a larger block run inside a task on
+   ``BLOCK`` classes or twice that, and no pair leaves it but the edges of a least spanning
+   forest: those that are verified on whole sets merge components.
+5. A block with a candidate pair that its forest left out, or with several pieces, is
+   searched again for pairs between different components, with ``MORE`` times as many
+   disjoint forests each time, until none is left out. So links between components are never
+   missed, and what leaves the tasks stays in proportion to the postings of such blocks.
 
 Ids identify documents: rows of one id count as linked with each other, those without words
-too; rows with a null id take no part and get a null component. Null texts are empty; an empty table stays empty;
-other columns are not read; texts are taken whole at any length.
+too; rows with a null id take no part and get a null component. Null texts are empty; an empty
+table stays empty; other columns are not read, whatever their names; repeated rows and copies
+get their rows in the result; texts are taken whole at any length.
 """
 
 from __future__ import annotations
@@ -36,26 +38,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as W
 from .components import checkpointed, components
 
 SIZE, PERCENT = 4, 85
-#: Cells of the count sketch, and the count in one batch from which a cell is told of.
+#: Cells of the count sketch, and the count in one task from which a cell is told of.
 CELLS, FREQUENT = 1 << 22, 8
 #: Cells that the order keeps, at most; others count as rare, which keeps the join exact.
 MOST_CELLS = 200_000
+#: Classes of a block up to which base prefixes do; levels of longer prefixes, the last the whole set.
+SMALL, LEVELS = 8, 3
+#: Classes of a block that one task compares at once; a larger one is cut into pieces.
+BLOCK = 2048
+#: Times as many forests in each further round.
+MORE = 8
 #: Bits of the bit maps by which rows are dropped early that a join would drop anyway.
-BITS = 1 << 23
-#: Bits of a set's parity sketch.
-SKETCH = 1024
-#: Pairs left per posting, and beside these, up to which they are listed; rounds of stars before that.
-LEFT, LEAST, ROUNDS = 8, 100_000, 6
-#: Classes that share a prefix shingle, above which it crowds.
-CROWDED = 64
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+FAR = np.int32(1 << 30)
 
 
 def sets_of(s: W.Slice, size: int) -> Iterator[np.ndarray]:
@@ -82,7 +84,7 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def frequent_cells(texts: DataFrame, size: int) -> np.ndarray:
-    """Cells of shingles that are frequent somewhere, in order of their counts; at most MOST_CELLS."""
+    """Cells of shingles that are frequent in some task, in order of their counts; at most MOST_CELLS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int32)
@@ -104,120 +106,372 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def signature(x: np.ndarray) -> np.ndarray:
+def signature(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """64 bits for a set of shingles, as an array of one."""
-    return W.mix(W.mix(x).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))
+    return W.mix(W.mix(x + W.U64(seed)).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))
 
 
 def parity(x: np.ndarray) -> bytes:
-    """Of each of SKETCH cells, whether it holds an odd number of the shingles."""
-    return np.packbits(np.bincount((W.mix(x) >> W.U64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1 == 1).tobytes()
+    """Of each of two to four times as many cells as there are shingles, whether it holds an odd number of them."""
+    cells = max(128, 1 << (2 * len(x) - 1).bit_length())
+    return np.packbits(np.bincount((W.mix(x) & W.U64(cells - 1)).astype(np.int64), minlength=cells) & 1 == 1).tobytes()
 
 
-def _prefixes(source: DataFrame, cells: np.ndarray, crowded: np.ndarray, size: int, percent: int) -> DataFrame:
-    """id, n, signature, prefix and parity sketch of each document."""
+class Order:
+    """The global order of shingles; a task makes its table from the frequent cells."""
+
+    def __init__(self, cells: np.ndarray):
+        self.rank = np.zeros(CELLS, np.int32)
+        self.rank[cells] = np.arange(1, len(cells) + 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """A sorted set in this order."""
+        return x[np.argsort(self.rank[_cell(x)], kind="stable")]
+
+
+def _documents(source: DataFrame, size: int, seed: int) -> DataFrame:
+    """id, n, class and a second hash of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(CELLS, np.int32)
-        rank[cells] = np.arange(1, len(cells) + 1)
-        late = np.unpackbits(crowded).astype(np.int32) * (CELLS + 1)
         for batch in batches:
             for s in W.slices(batch.column(1)):
-                n, sign, prefix, sketch = [], [], [], []
-                for x in sets_of(s, size):
-                    n.append(len(x))
-                    sign.append(int(signature(x)[0]))
-                    sketch.append(parity(x))
-                    take = len(x) - needed(len(x), percent) + 1 if len(x) else 0
-                    prefix.append(x[np.argsort(rank[_cell(x)] + late[_bit(x)], kind="stable")[:take]])
-                signs = pa.array(np.array(sign, W.U64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n, pa.int64()), signs, _lists(prefix), pa.array(sketch, pa.binary())], names=["id", "n", "class", "prefix", "sketch"])
+                found = [(len(x), signature(x, seed)[0], signature(x, seed + 1)[0]) for x in sets_of(s, size)]
+                n, first, second = (np.array(c, k) for c, k in zip(zip(*found, strict=True), (np.int64, W.U64, W.U64), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], names=["id", "n", "class", "second"])
 
-    return source.mapInArrow(run, "id long, n long, class long, prefix array<long>, sketch binary")
+    return source.mapInArrow(run, "id long, n long, class long, second long")
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).view(np.int64)) if parts else pa.array([], pa.int64()))
+def _postings(source: DataFrame, cells: np.ndarray, size: int, percent: int, seed: int) -> DataFrame:
+    """(token, class) of the base prefixes, each class once a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen = Order(cells), set()
+        for batch in batches:
+            for s in W.slices(batch.column(1)):
+                signs, prefixes = [], []
+                for x in sets_of(s, size):
+                    if len(x) and (sign := int(signature(x, seed)[0])) not in seen:
+                        seen.add(sign)
+                        signs.append(sign)
+                        prefixes.append(order(x)[: len(x) - needed(len(x), percent) + 1])
+                if signs:
+                    classes = np.repeat(np.array(signs, W.U64), [len(p) for p in prefixes])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(classes.view(np.int64))], names=["token", "class"])
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (W.mix(keys.view(W.U64)) & W.U64(BITS - 1)).astype(np.int64)
+    return source.where("id is not null").mapInArrow(run, "token long, class long")
 
 
-def bit_map(keys: DataFrame) -> np.ndarray:
-    """One bit for the hash of each key; BITS bits whatever the number of keys."""
+def _shared(postings: DataFrame) -> DataFrame:
+    """The distinct postings whose token several classes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, np.bool_)
+        # The last distinct posting so far, and whether it has been given out.
+        last, told = np.empty((2, 0), np.int64), False
         for batch in batches:
-            bits[_bit(batch.column(0).to_numpy())] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        some = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["word", "bits"])
+            if not batch.num_rows:
+                continue
+            both = np.hstack([last, np.stack([c.to_numpy() for c in batch.columns])])
+            both = both[:, np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]]
+            same = both[0, 1:] == both[0, :-1]
+            out = np.r_[same, False] | np.r_[False, same]
+            held = out.copy()
+            held[0] &= not (told and last.size)
+            told = bool(out[-1]) or (told and both.shape[1] == 1 and bool(last.size))
+            last = both[:, -1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in both[:, held]], names=["token", "class"])
 
-    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(np.bool_)
+    return postings.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "token long, class long")
 
 
-def _postings(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Distinct (token, id) of the prefix shingles that several classes share; id is the class."""
-    marked = np.packbits(bit_map(shared))
+def _hash_bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (W.mix(keys.view(W.U64)) & W.U64(bits - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marked).astype(np.bool_)
-        for batch in batches:
-            lists = batch.column(1)
-            tokens = lists.flatten().to_numpy()
-            keep = bits[_bit(tokens)]
-            classes = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(classes[keep])], names=["token", "id"])
 
-    return rows.select("class", "prefix").mapInArrow(run, "token long, id long").distinct().join(shared, "token").select("token", "id")
+class BitMap:
+    """One bit for the hash of each key; its size follows their number up to a bound, beyond which it drops less."""
 
+    def __init__(self, keys: DataFrame, count: int):
+        bits = self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
 
-def _whole_sets(source: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(doc, class, set), the shingles as bytes, of the documents of a table (doc) and few others; read again."""
-    marked = np.packbits(bit_map(docs))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = np.zeros(bits // 64, np.int64)
+            for batch in batches:
+                at = _hash_bit(batch.column(0).to_numpy(), bits)
+                np.bitwise_or.at(some, at >> 6, np.int64(1) << (at & 63))
+            used = np.flatnonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(some[used])], names=["word", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marked).astype(np.bool_)
+        found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(bits // 64, np.int64)
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = _hash_bit(keys, self.bits)
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _sets(source: DataFrame, docs: DataFrame, size: int) -> Iterator:
+    """A mapping of Arrow batches that gives (ids, sets) of the rows whose id is in a table of docs, and few others."""
+    marked = BitMap(docs, docs.count())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            batch = batch.filter(pa.array(bits[_bit(batch.column(0).to_numpy())]))
+            batch = batch.filter(pa.array(marked(batch.column(0).to_numpy())))
+            ids = batch.column(0).to_numpy()
             for s in W.slices(batch.column(1)):
-                sign, blobs = [], []
-                for x in sets_of(s, size):
-                    sign.append(signature(x))
-                    blobs.append(x.tobytes())
-                signs = pa.array(np.concatenate(sign).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(blobs)), signs, pa.array(blobs, pa.binary())], names=["doc", "class", "set"])
+                yield from zip(ids[s.first : s.first + len(s.offsets) - 1].tolist(), sets_of(s, size), strict=True)
 
-    return source.where("id is not null").select("id", "text").mapInArrow(run, "doc long, class long, set binary")
+    return source.where("id is not null").select("id", "text"), each
 
 
-def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, da, b, db): the pairs whose parity sketches allow a link, with a document of each class."""
-    for x in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+def _some(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last column is binary, with about ``most`` bytes each."""
+    kept, size = [], 0
+    for row in rows:
+        kept.append(row)
+        size += 64 + len(row[-1])
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+            kept, size = [], 0
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+
+
+def _signed(hashed: np.ndarray) -> int:
+    return int(hashed.view(np.int64)[0])
+
+
+def _whole_sets(source: DataFrame, docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """(doc, class, set), the shingles as bytes, of the documents of a table and few others; each class of a document once a task."""
+    texts, each = _sets(source, docs, size)
+    schema = pa.schema([("doc", pa.int64()), ("class", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), W.U64).reshape(-1, SKETCH // 64) for c in ("sa", "sb"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            # A link shares k of both with 100 k >= percent (both - k), and both - 2 k shingles differ.
-            keep = apart <= both + 2 * (-both * percent // (100 + percent))
-            yield batch.select(["a", "da", "b", "db"]).filter(pa.array(keep))
+        seen = set()
+
+        def rows():
+            for doc, x in each(batches):
+                key = (doc, _signed(signature(x, seed)))
+                if key not in seen:
+                    seen.add(key)
+                    yield *key, x.tobytes()
 
-    return pairs.select("a", "da", "na", "sa", "b", "db", "nb", "sb").mapInArrow(run, "a long, da long, b long, db long")
+        yield from _some(rows(), schema)
 
+    return texts.mapInArrow(run, "doc long, class long, set binary")
+
+
+def _level(cost: Column) -> Column:
+    """0 for the base prefix; each doubling of the candidate cost beyond SMALL is a level."""
+    return F.least(F.ceil(F.log2(cost / SMALL)), F.lit(LEVELS)).cast("int")
+
+
+def length_at(n: int, level: int, percent: int) -> int:
+    """Length of the prefix of a set of n shingles."""
+    return n if level >= LEVELS else min(n, (n - needed(n, percent) + 1) << level)
+
+
+def _sketches(source: DataFrame, docs: DataFrame, cells: np.ndarray, size: int, percent: int, seed: int) -> DataFrame:
+    """(doc, class, level, length, sketch): the longer prefixes of the documents of a table and few others."""
+    texts, each = _sets(source, docs, size)
+    schema = pa.schema([("doc", pa.int64()), ("class", pa.int64()), ("level", pa.int32()), ("length", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen = Order(cells), set()
 
-def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+        def rows():
+            for doc, x in each(batches):
+                key = (doc, _signed(signature(x, seed)))
+                if len(x) and key not in seen:
+                    seen.add(key)
+                    ordered = order(x)
+                    for level in range(1, LEVELS + 1):
+                        length = length_at(len(x), level, percent)
+                        yield *key, level, length, parity(ordered[:length])
+
+        yield from _some(rows(), schema)
+
+    return texts.mapInArrow(run, "doc long, class long, level int, length long, sketch binary")
+
+
+def _linkable(k, na, nb, rest, percent: int):
+    """Whether k shared prefix shingles and ``rest`` beyond the prefixes leave enough for a link."""
+    return (k + rest) * (100 + percent) >= (na + nb) * percent
+
+
+def _small_pairs(post: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that share small blocks, if they share as many base shingles as a link needs.
+
+    Shingles of larger blocks are taken as shared by as many as both have of these.
+    """
+    crowded = post.groupBy("class").agg(F.count(F.when(F.col("cost") > SMALL, 1)).alias("more"))
+    rows = post.where(F.col("cost") <= SMALL).join(crowded, "class").select("token", "class", "n", "more")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4, 0), np.int64)
+        for batch in batches:
+            old = held.shape[1]
+            t = np.hstack([held, np.stack([c.to_numpy() for c in batch.columns])])
+            for step in range(1, SMALL):
+                second = np.arange(max(old, step), t.shape[1])
+                x, y = t[:, second - step], t[:, second]
+                near = (x[0] == y[0]) & (100 * np.minimum(x[2], y[2]) >= percent * np.maximum(x[2], y[2]))
+                x, y = x[1:, near], y[1:, near]
+                x, y = np.where(x[0] < y[0], x, y), np.where(x[0] < y[0], y, x)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (x[0], y[0], x[1], y[1], np.minimum(x[2], y[2])))], names=["a", "b", "na", "nb", "more"])
+            held = t[:, -SMALL:]
+
+    pairs = rows.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "a long, b long, na long, nb long, more long")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("more").alias("more"))
+
+    def beyond(n: str) -> Column:
+        return F.floor((F.col(n) * percent + 99) / 100).cast("long") - 1
+
+    return pairs.where(_linkable(F.col("k") + F.col("more"), F.col("na"), F.col("nb"), F.greatest(beyond("na"), beyond("nb")), percent)).select("a", "b")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if held and (i or any(held[0].column(j)[0].as_py() != k[j, 0] for j in range(keys))):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _distances(n: np.ndarray, length: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Between the rows of a block, FAR where sizes or sketches rule a link out."""
+    width = np.array([len(s) for s in sketches])
+    out = np.full((len(n), len(n)), FAR)
+    at = {v: np.flatnonzero(width == v) for v in np.unique(width).tolist()}
+    bits = {v: np.frombuffer(b"".join([sketches[i] for i in x]), np.uint8).reshape(len(x), -1) for v, x in at.items()}
+    for v, rows in at.items():
+        left = bits[v].view(W.U64)
+        for u, columns in at.items():
+            if u < v or 100 * n[rows].max() < percent * n[columns].min() or 100 * n[columns].max() < percent * n[rows].min():
+                continue
+            # A wider sketch folds into a narrower one.
+            right = np.bitwise_xor.reduce(bits[u].reshape(len(columns), u // v, v), axis=1).view(W.U64)
+            step = max(1, (1 << 21) // (len(columns) * (v // 8)))
+            for i in range(0, len(rows), step):
+                some = rows[i : i + step]
+                apart = np.bitwise_count(left[i : i + step, None] ^ right[None]).sum(2, dtype=np.int64)
+                na, nb, la, lb = n[some, None], n[None, columns], length[some, None], length[None, columns]
+                ok = _linkable((la + lb - apart) // 2, na, nb, np.maximum(na - la, nb - lb), percent) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                d = np.where(ok, (apart << 12) // (na + nb), FAR).astype(np.int32)
+                out[np.ix_(some, columns)] = d
+                out[np.ix_(columns, some)] = d.T
+    return out
+
+
+def spanning_edges(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a least spanning forest; costs from 0 on, those below join for free, FAR not at all."""
+    m, edges = len(cost), []
+    best, near, out = np.full(m, FAR), np.zeros(m, np.int64), np.zeros(m, bool)
+    for _ in range(m):
+        i = int(best.argmin())
+        if out[i]:  # all of this tree's neighbours are in
+            i = int(out.argmin())
+        elif 0 <= best[i] < FAR:
+            edges.append((int(near[i]), i))
+        out[i] = True
+        less = (cost[i] < best) & ~out
+        best[less], near[less] = cost[i][less], i
+        best[i] = FAR
+        if best[i] == FAR and out.all():
+            break
+    return edges
+
+
+def _forests(cost: np.ndarray, comp: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Edges of up to ``most`` disjoint forests between components, and whether a candidate pair is left out."""
+    same = comp[:, None] == comp[None]
+    open_ = (cost < FAR) & ~same
+    some = np.flatnonzero(open_.any(1))
+    if not len(some):
+        return [], False
+    cost = np.where(same, -1, cost)[np.ix_(some, some)]
+    open_ = open_[np.ix_(some, some)]
+    edges: list[tuple[int, int]] = []
+    for _ in range(most):
+        new = spanning_edges(np.where(open_ | (cost < 0), cost, FAR))
+        for a, b in new:
+            open_[a, b] = open_[b, a] = False
+        edges += [(int(some[a]), int(some[b])) for a, b in new]
+        if not open_.any():
+            return edges, False
+    return edges, True
+
+
+def _crowded_pairs(live: DataFrame, forests: int, percent: int) -> DataFrame:
+    """(token, a, b) of the forests' edges; a null a tells that a candidate pair of the token is left out.
+
+    live: token, piece columns x and y, class, comp, n, length, sketch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for block in _blocks(batches, 3):
+            if block.num_rows < 2:
+                continue
+            classes, comp, n, length = (block.column(c).to_numpy() for c in ("class", "comp", "n", "length"))
+            edges, left = _forests(_distances(n, length, block.column("sketch").to_pylist(), percent), comp, forests)
+            token = block.column(0)[0].as_py()
+            out += [(token, *sorted((int(classes[i]), int(classes[j])))) for i, j in edges]
+            if left:
+                out.append((token, None, None))
+            if len(out) > 10_000:
+                yield _rows(out)
+                out = []
+        if out:
+            yield _rows(out)
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["token", "a", "b"])
+
+    live = live.select("token", "x", "y", "class", "comp", "n", "length", "sketch")
+    return live.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "token long, a long, b long")
+
+
+def _pieces(live: DataFrame, block: int, whole: bool) -> DataFrame:
+    """Adds the pieces (x, y) of its block that a posting belongs to; live has token, class and comp.
+
+    A block of up to ``block`` classes is one piece. In a larger one, classes are dealt into
+    parts; without ``whole`` each part is a piece, else each two parts are, but those of the
+    largest component of the block only with parts of the others.
+    """
+    sizes = live.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("token").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).select("token", "all", F.col("top.c").alias("main"), F.col("top.comp").alias("main_comp")).where("main < all")
+    live = live.join(sizes, "token")
+    parts = lambda size: F.greatest(F.ceil(size / block), F.lit(1)).cast("int")
+    own = lambda many: F.pmod(F.xxhash64("class"), many).cast("int")
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    if not whole:
+        n = parts(F.col("all"))
+        return live.withColumn("x", own(n)).withColumn("y", F.col("x")).drop("all", "main", "main_comp")
+    mains, others = parts(F.col("main")), parts(F.col("all") - F.col("main"))
+    main = F.transform(F.sequence(F.lit(0), others - 1), lambda j: pair(-1 - own(mains), j))
+    other = F.concat(F.transform(F.sequence(F.lit(0), mains - 1), lambda i: pair(-1 - i, own(others))), F.transform(F.sequence(F.lit(0), others - 1), lambda j: pair(F.least(j, own(others)), F.greatest(j, own(others)))))
+    at = F.when(F.col("all") <= block, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("comp") == F.col("main_comp"), main).otherwise(other)
+    return live.withColumn("at", F.explode(at)).select("*", "at.x", "at.y").drop("at", "all", "main", "main_comp")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, percent: int, seed: int) -> DataFrame:
     """The pairs (a, b) of classes that link."""
-    pairs = checkpointed(_allowed(pairs, classes, percent))
-    sets = _whole_sets(source, pairs.select(F.col("da").alias("doc")).union(pairs.select("db")), size).persist(StorageLevel.MEMORY_AND_DISK)
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(x), F.col("doc").alias(f"d{x}")), x)
+    pairs = checkpointed(pairs)
+    sets = _whole_sets(source, pairs.select(F.col("da").alias("doc")).union(pairs.select("db")), size, seed)
     left = sets.select(F.col("doc").alias("da"), F.col("class").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("doc").alias("db"), F.col("class").alias("b"), F.col("set").alias("y"))
 
@@ -231,73 +485,65 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int
                 keep[i] = 100 * k >= percent * (len(x) + len(y) - k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    links = checkpointed(pairs.join(left, ["a", "da"]).join(right, ["b", "db"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    sets.unpersist()
-    return links
-
-
-def _possible(k: Column, percent: int) -> Column:
-    """Whether k shared prefix shingles leave enough for a link; na, pa, nb, pb are sizes of sets and prefixes."""
-    rest = F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return ((k + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return checkpointed(pairs.join(left, ["a", "da"]).join(right, ["b", "db"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Component labels after some links; labels (id, comp)."""
-    a = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-    b = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    """Component labels after some links; labels (class, comp)."""
+    a = labels.select(F.col("class").alias("a"), F.col("comp").alias("ca"))
+    b = labels.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
     edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = components(edges)
-    out = labels.join(found, labels["comp"] == found["node"], "left").select("id", F.coalesce("component", "comp").alias("comp"))
-    return checkpointed(out)
+    return checkpointed(labels.join(found, labels["comp"] == found["node"], "left").select("class", F.coalesce("component", "comp").alias("comp")))
+
 
+def _classes(source: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (id, n, class), the classes (class, n, doc) and the seed under which no two sets share a class."""
+    for seed in range(0, 1000, 2):
+        rows = checkpointed(_documents(source, size, seed))
+        found = rows.where("id is not null and n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+        found = checkpointed(found)
+        if found.where("lo != hi").isEmpty():
+            return rows.select("id", "n", "class"), found.select("class", "n", "doc"), seed
+    raise RuntimeError("sets clash under every seed")
 
-def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+
+def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component of each row."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    cells = frequent_cells(source.select("text"), size)
-    none = np.packbits(np.zeros(BITS, np.bool_))
-    first = _known(_prefixes(source, cells, none, size, percent)).select("class", F.explode("prefix").alias("token")).distinct()
-    crowded = np.packbits(bit_map(first.groupBy("token").count().where(F.col("count") > CROWDED).select("token")))
-    rows = _prefixes(source, cells, crowded, size, percent).persist(StorageLevel.MEMORY_AND_DISK)
-    known = _known(rows)
-    classes = checkpointed(known.groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-
-    postings = known.select("class", F.explode("prefix").alias("token"))
-    shared = checkpointed(postings.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("token"))
-    post = checkpointed(_postings(known, shared))
-    total = post.count()
+    rows, classes, seed = _classes(source, size)
+    known = rows.where("id is not null and n > 0")
+    cells = frequent_cells(source.where("id is not null").select("text"), size)
+    shared = checkpointed(_shared(_postings(source, cells, size, percent, seed)))
+    post = shared.join(shared.groupBy("token").agg(F.count("*").alias("cost")), "token").join(classes, "class")
+
     same = _of_one_id(known)
-    nodes = post.select("id").union(same.select("a")).union(same.select("b"))
-    labels = checkpointed(nodes.distinct().select("id", F.col("id").alias("comp")))
+    nodes = shared.select("class").union(same.select("a")).union(same.select("b"))
+    labels = checkpointed(nodes.distinct().select("class", F.col("class").alias("comp")))
     if not same.isEmpty():
         labels = _merged(labels, same)
-    # Sizes of sets and prefixes, and of each prefix the part that others share.
-    n = F.col("n")
-    prefix_size = n - F.floor((n * percent + 99) / 100) + 1
-    near = post.groupBy("id").agg(F.collect_list("token").alias("prefix")).join(classes.select(F.col("class").alias("id"), "n"), "id").select("id", "n", prefix_size.cast("long").alias("p"), "prefix")
-    near = near.persist(StorageLevel.MEMORY_AND_DISK)
-
-    before = None
-    for turn in range(ROUNDS + 1):
-        live = post.join(labels, "id").select("token", "id", "comp")
-        counts = live.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-        counts = counts.withColumn("left", (F.col("m") * F.col("m") - F.col("q")) / 2)
-        left, crowding = counts.agg(F.sum("left"), F.sum(F.when(F.col("m") > CROWDED, F.col("left")))).first()
-        if not left:
-            break
-        # Stars pay as long as they lessen what the crowding shingles would cost.
-        last = (crowding or 0) <= LEFT * total + LEAST or turn == ROUNDS or (before is not None and crowding > 0.7 * before)
-        before = crowding
-        if last:
-            pairs = _listed(live.join(counts.select("token"), "token", "left_semi"), near, percent)
-        else:
-            pairs = _stars(live.join(counts.where(F.col("m") > CROWDED).select("token"), "token", "left_semi"), near, turn, percent)
-        labels = _merged(labels, _verified(pairs, classes, source, size, percent))
-        if last:
+
+    crowded = post.where(F.col("cost") > SMALL).select("token", "class", "n", "doc", _level(F.col("cost")).alias("level"), "cost")
+    sketches = _sketches(source, crowded.select("doc").distinct(), cells, size, percent, seed)
+    crowded = checkpointed(crowded.join(sketches, ["doc", "class", "level"]).select("token", "class", "n", "length", "sketch", "cost"))
+
+    forests, found = 1, _small_pairs(post, percent)
+    live = _pieces(crowded.join(labels, "class"), block, False)
+    while True:
+        told = checkpointed(_crowded_pairs(live, forests, percent))
+        pairs = told.where("a is not null").select("a", "b")
+        found = (found.unionAll(pairs) if found is not None else pairs).distinct()
+        labels = _merged(labels, _verified(found, classes, source, size, percent, seed))
+        again = told.where("a is null").select("token")
+        if forests == 1:
+            again = again.unionAll(crowded.where(F.col("cost") > block).select("token"))
+        again = checkpointed(again.distinct())
+        if again.isEmpty():
             break
+        forests, found = forests * MORE, None
+        live = _pieces(crowded.join(again, "token", "left_semi").join(labels, "class"), block, True)
 
-    least = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("class", "doc", F.coalesce("comp", "class").alias("comp"))
+    least = classes.join(labels, "class", "left").select("class", "doc", F.coalesce("comp", "class").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("doc").alias("component"))
     # By id, as rows without words follow those of their id; all classes of an id are in one component.
     of_id = known.select("id", "class").join(least.select("class", "comp"), "class").join(smallest, "comp").groupBy("id").agg(F.min("component").alias("component"))
@@ -305,52 +551,34 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
-def _known(rows: DataFrame) -> DataFrame:
-    return rows.where("id is not null and n > 0")
-
-
 def _of_one_id(known: DataFrame) -> DataFrame:
     """(a, b): links between the classes of rows that share an id."""
     several = known.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("hi")).where("a != hi")
     return checkpointed(known.select("id", F.col("class").alias("b")).join(several.select("id", "a"), "id").where("a != b").select("a", "b").distinct())
 
 
-def _stars(live: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Of each prefix shingle, one class against those of other components, if their prefixes allow a link."""
-    order = F.xxhash64(F.col("id"), F.lit(turn)) if turn else F.col("id")
-    centers = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("a"), F.col("comp").alias("ca"))).alias("center"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    centers = centers.where("lo != hi").select("token", "center.a", "center.ca")
-    pairs = live.join(centers, "token").where("comp != ca").select("a", F.col("id").alias("b")).distinct()
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("prefix").alias("xa"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("prefix").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").where(_possible(F.size(F.array_intersect("xa", "xb")), percent)).select("a", "b")
-
-
-def _listed(live: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a prefix shingle, if their prefixes allow a link."""
-    b = live.select("token", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = live.withColumnRenamed("id", "a").join(b, "token").where("comp != cb and a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    left = sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    right = sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").where(_possible(F.col("k"), percent)).select("a", "b")
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that with the component's id; of several rows of that id the first by text.
+    """One row of each group of texts that links connect: that of the smallest id, then text.
 
-    Rows with a null id take part here, known by their text, and give way to rows with an
-    id. Rows without words go only where another row has their id, and before those with words.
+    Here texts link, not ids: rows of one id with unlike texts all stay, and of repeated rows
+    one. A null id comes after all others. Rows without words link with nothing and all stay.
     """
-    words = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # Of a null id, a hash of the text beyond usual ids; none without words, as these link with nothing.
-    of_text = F.when(words, F.xxhash64(F.col(f"`{text}`").cast("string")).bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(f"`{doc_id}`").cast("long"), of_text))
-    found = checkpointed(join_components(keyed, "__key", text, size, percent).where("id is not null").select("id", "component"))
-    keyed = keyed.join(found.where("id != component").select("id").distinct(), F.col("__key") == F.col("id"), "left_anti")
-    repeated = found.where("id = component").groupBy("id").count().where("count > 1").select("id")
-    order = Window.partitionBy("__key").orderBy(words.desc(), F.col(f"`{text}`"))
-    firsts = keyed.join(repeated, F.col("__key") == F.col("id"), "left_semi").withColumn("__at", F.row_number().over(order)).where("__at = 1")
-    return keyed.join(repeated, F.col("__key") == F.col("id"), "left_anti").select(docs.columns).unionAll(firsts.select(docs.columns))
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    # In one column, so that no name clashes.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("text"), F.xxhash64(t).alias("key"))
+    found = join_components(keyed.select("key", "text"), "key", "text", size, percent).where("n_shingles > 0").select(F.col("id").alias("key"), "component").distinct()
+    places = keyed.select("id", "key").join(found, "key")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), "key"))
+    places = checkpointed(places.groupBy("component", "id", "key").agg(F.count("*").alias("times")))
+    firsts = places.groupBy("component").agg(first.alias("first")).select("component", F.when(~F.col("first.last"), F.col("first.id")).alias("id"), F.col("first.key").alias("key"))
+    same = lambda a, b: (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
+    gone = places.alias("p").join(firsts.alias("f"), (F.col("p.component") == F.col("f.component")) & same("p", "f"), "left_anti")
+    twice = places.where("times > 1")
+    left = keyed.alias("d").join(gone.unionAll(twice).alias("g"), same("d", "g"), "left_anti").select("row.*")
+    # Rows that stand several times in the same way give one.
+    again = twice.alias("p").join(firsts.alias("f"), (F.col("p.component") == F.col("f.component")) & same("p", "f"), "left_semi")
+    picked = keyed.alias("d").join(again.alias("g"), same("d", "g"), "left_semi").groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
+    return left.unionAll(picked)
 
 
 def brute_force(ids: list[int], texts: list[str | None], size: int = SIZE, percent: int = PERCENT) -> list[tuple[int, int, int]]:

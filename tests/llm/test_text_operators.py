@@ -161,13 +161,8 @@ def test_join_matches_brute_force(spark, odd):
         rows.append((i + 1, " ".join(d)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(jaccard_join.brute_force([i for i, _ in rows], [t for _, t in rows]))
-    kept = jaccard_join.LEFT, jaccard_join.LEAST, jaccard_join.CROWDED
-    try:
-        for left, least, crowded in (kept, (0, 0, 4)):  # listed at once, and by stars
-            jaccard_join.LEFT, jaccard_join.LEAST, jaccard_join.CROWDED = left, least, crowded
-            assert sorted(map(tuple, jaccard_join.join_components(docs).collect())) == want
-    finally:
-        jaccard_join.LEFT, jaccard_join.LEAST, jaccard_join.CROWDED = kept
+    for block in (jaccard_join.BLOCK, 12):  # large blocks whole, and in pieces
+        assert sorted(map(tuple, jaccard_join.join_components(docs, block=block).collect())) == want
     kept_ids = {x["doc_id"] for x in jaccard_join.keep_one(docs).collect()}
     assert kept_ids == {c for *_, c in want}
     assert jaccard_join.join_components(odd).count() == len(ODD) + 1
@@ -192,8 +187,59 @@ def test_one_row_of_each_component_stays(spark):
     kept = [(x["doc_id"], x["text"]) for x in jaccard_join.keep_one(docs).collect()]
     fours = [x for x in kept if x[0] is None and x[1]]
     assert len(fours) == 1 and fours[0][1].startswith(four)
-    assert sorted([x for x in kept if x[0] in (3, 5, 7, 9)]) == [(3, one), (9, three)]
-    assert len([x for x in kept if x[0] == 11]) == 1 and kept.count((None, "")) == 2 and len(kept) == 6
+    assert sorted([x for x in kept if x[0] in (3, 5, 7, 9) and (x[1] or "").strip()]) == [(3, one), (5, two), (9, three)]
+    assert len([x for x in kept if not (x[1] or "").strip()]) == 5 and len(kept) == 9  # rows without words all stay
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "st")
+    docs = spark.createDataFrame([(3, one, 1, "x"), (7, one, 2, "y"), (7, two, 3, "z")], "doc_id long, text string, id int, row string")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(3, one, 1, "x"), (7, two, 3, "z")]
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_hot_groups_of_near_copies(spark):
+    """Many copies, each like the base alone, and unlike texts with a common passage."""
+    r = random.Random(9)
+    base, other, passage = ([f"{c}{i}" for i in range(100)] for c in "bop")
+    rows = [(0, " ".join(base)), (1, " ".join(other))]
+    for i in range(2, 160):
+        d = list(base if i % 2 else other)
+        for at in r.sample(range(4, 96), 3 if i % 20 else 9):
+            d[at] = f"e{r.randint(0, 400)}"
+        rows.append((i, " ".join(d)))
+    for i in range(160, 220):
+        rows.append((i, " ".join([*passage[: r.randint(20, 30)], *(f"u{r.randint(0, 30)}" for _ in range(3))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for percent in (85, 60):
+        want = sorted(jaccard_join.brute_force([i for i, _ in rows], [t for _, t in rows], percent=percent))
+        for block in (jaccard_join.BLOCK, 16):
+            assert sorted(map(tuple, jaccard_join.join_components(docs, percent=percent, block=block).collect())) == want
+
+
+def test_least_forests():
+    r = np.random.default_rng(4)
+    far = jaccard_join.FAR
+    for _ in range(20):
+        m = int(r.integers(2, 30))
+        cost = r.integers(0, 50, (m, m)).astype(np.int32)
+        cost = np.minimum(cost, cost.T)
+        cost[cost > 30] = far
+        comp = r.integers(0, 6, m)
+        open_ = {(i, j) for i in range(m) for j in range(i) if cost[i, j] < far and comp[i] != comp[j]}
+        edges, left = jaccard_join._forests(cost, comp, 1)
+        assert {(max(e), min(e)) for e in edges} <= open_ and left == (len(edges) < len(open_))
+        every, left = jaccard_join._forests(cost, comp, 1000)
+        assert {(max(e), min(e)) for e in every} == open_ and len(every) == len(open_) and not left
+
+        def pieces_of(pairs):
+            label = comp.copy()
+            for a, b in pairs:
+                label[label == label[a]] = label[b]
+            return len(set(label.tolist()))
+
+        assert pieces_of(edges) == pieces_of(open_)
 
 
 def test_licenses(spark, odd):
