@@ -11,11 +11,14 @@ reachable by links.
 2. Shingles have one global order: those that a count sketch finds frequent come last, by
    their counts. The first p = n - ceil(percent * n) + 1 shingles of a set hold one of any set
    that links with it. A prefix longer by l - 1 must share l.
-3. The base prefixes are the index. A posting's block, the classes with its shingle, is its
-   estimated candidate cost. Up to ``SMALL`` the base prefix does (l = 1). Each doubling of
-   that cost doubles the length of the prefix which the class brings to the block, up to its
-   whole set (l = what a link must share), as a parity sketch: a bit flips for each of its
-   shingles, so two sketches differ in no more bits than the prefixes do in shingles.
+3. How many classes have a shingle in their prefixes is its estimated candidate cost. A first
+   pass counts it. A prefix with c shingles that cost more than ``SMALL`` is lengthened past
+   them: it must share c + 1, so one of those that cost less, and they alone are its entries
+   in the index, as if the others came later in the order. Only a set that has too few
+   cheaper ones keeps crowded entries, and brings a still longer prefix to their blocks: each
+   doubling of the cost doubles its length, up to the whole set (l = what a link must share).
+   It comes as a parity sketch: a bit flips for each of its shingles, so two sketches differ
+   in no more bits than the prefixes do in shingles.
 4. Pairs from small blocks, 28 a block at most, must share as many base shingles, added up
    over blocks, as a link needs; pairs within larger blocks must share the l of their longer
    prefixes by their sketches. All comparisons of a larger block run inside a task on
@@ -53,6 +56,8 @@ MOST_CELLS = 200_000
 SMALL, LEVELS = 8, 3
 #: Classes of a block that one task compares at once; a larger one is cut into pieces.
 BLOCK = 2048
+#: Postings whose counts one bucket adds up, without copies.
+BUCKET = 1 << 14
 #: Times as many forests in each further round.
 MORE = 8
 #: Bits of the bit maps by which rows are dropped early that a join would drop anyway.
@@ -106,6 +111,10 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.floor((n * percent + 99) / 100).cast("long") + 1
+
+
 def signature(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """64 bits for a set of shingles, as an array of one."""
     return W.mix(W.mix(x + W.U64(seed)).sum(dtype=W.U64, keepdims=True) + W.U64(len(x)))
@@ -117,16 +126,48 @@ def parity(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount((W.mix(x) & W.U64(cells - 1)).astype(np.int64), minlength=cells) & 1 == 1).tobytes()
 
 
+def _hash_bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (W.mix(keys.view(W.U64)) & W.U64(bits - 1)).astype(np.int64)
+
+
+class BitMap:
+    """One bit for the hash of each key; its size follows their number up to a bound, beyond which it drops less."""
+
+    def __init__(self, keys: DataFrame):
+        """keys: a table of one column, checkpointed."""
+        count = keys.count()
+        bits = self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = np.zeros(bits // 64, np.int64)
+            for batch in batches:
+                at = _hash_bit(batch.column(0).to_numpy(), bits)
+                np.bitwise_or.at(some, at >> 6, np.int64(1) << (at & 63))
+            used = np.flatnonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(some[used])], names=["word", "bits"])
+
+        found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(bits // 64, np.int64)
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = _hash_bit(keys, self.bits)
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
+
+
 class Order:
     """The global order of shingles; a task makes its table from the frequent cells."""
 
-    def __init__(self, cells: np.ndarray):
-        self.rank = np.zeros(CELLS, np.int32)
-        self.rank[cells] = np.arange(1, len(cells) + 1)
+    def __init__(self, cells: np.ndarray, crowded: BitMap | None):
+        self.rank, self.crowded = np.zeros(CELLS, np.int32), crowded
+        self.rank[cells] = 2 * np.arange(1, len(cells) + 1)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """A sorted set in this order."""
-        return x[np.argsort(self.rank[_cell(x)], kind="stable")]
+        late = self.rank[_cell(x)]
+        if self.crowded:
+            late += self.crowded(x)
+        return x[np.argsort(late, kind="stable")]
 
 
 def _documents(source: DataFrame, size: int, seed: int) -> DataFrame:
@@ -142,22 +183,65 @@ def _documents(source: DataFrame, size: int, seed: int) -> DataFrame:
     return source.mapInArrow(run, "id long, n long, class long, second long")
 
 
-def _postings(source: DataFrame, cells: np.ndarray, size: int, percent: int, seed: int) -> DataFrame:
+def _prefixes(batches: Iterator[pa.RecordBatch], order: Order, size: int, percent: int, seed: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Classes and their base prefixes, each class once a task."""
+    seen = set()
+    for batch in batches:
+        for s in W.slices(batch.column(1)):
+            signs, prefixes = [], []
+            for x in sets_of(s, size):
+                if len(x) and (sign := int(signature(x, seed)[0])) not in seen:
+                    seen.add(sign)
+                    signs.append(sign)
+                    prefixes.append(order(x)[: len(x) - needed(len(x), percent) + 1])
+            if signs:
+                yield np.array(signs, W.U64), prefixes
+
+
+def crowded_tokens(source: DataFrame, cells: np.ndarray, size: int, percent: int, seed: int, postings: int) -> DataFrame:
+    """(token): shingles in the first prefixes of more than SMALL classes, a copy in each task counted.
+
+    Counts are added up in each task first; so a bucket of tokens holds a bounded share of
+    all postings, and of a frequent token one count of each task.
+    """
+    buckets = max(1, postings // BUCKET)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+        bucket = ((tokens >> W.U64(32)) * W.U64(buckets) >> W.U64(32)).astype(np.int64)
+        used, first = np.unique(bucket, return_index=True)
+        ends = np.r_[first[1:], len(tokens)]
+        blobs = ([x[a:b].tobytes() for a, b in zip(first, ends, strict=True)] for x in (tokens, counts.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "tokens", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for _, prefixes in _prefixes(batches, Order(cells, None), size, percent, seed):
+            parts += prefixes
+            held += sum(map(len, prefixes))
+            if held > 1 << 21:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, 1):
+            tokens, at = np.unique(np.frombuffer(b"".join(block.column("tokens").to_pylist()), W.U64), return_inverse=True)
+            counts = np.bincount(at, np.frombuffer(b"".join(block.column("counts").to_pylist()), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[counts > SMALL].view(np.int64))], names=["token"])
+
+    counts = source.where("id is not null").mapInArrow(run, "bucket long, tokens binary, counts binary")
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "token long")
+
+
+def _postings(source: DataFrame, order: tuple, size: int, percent: int, seed: int) -> DataFrame:
     """(token, class) of the base prefixes, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = Order(cells), set()
-        for batch in batches:
-            for s in W.slices(batch.column(1)):
-                signs, prefixes = [], []
-                for x in sets_of(s, size):
-                    if len(x) and (sign := int(signature(x, seed)[0])) not in seen:
-                        seen.add(sign)
-                        signs.append(sign)
-                        prefixes.append(order(x)[: len(x) - needed(len(x), percent) + 1])
-                if signs:
-                    classes = np.repeat(np.array(signs, W.U64), [len(p) for p in prefixes])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(classes.view(np.int64))], names=["token", "class"])
+        for signs, prefixes in _prefixes(batches, Order(*order), size, percent, seed):
+            classes = np.repeat(signs, [len(p) for p in prefixes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(classes.view(np.int64))], names=["token", "class"])
 
     return source.where("id is not null").mapInArrow(run, "token long, class long")
 
@@ -184,36 +268,9 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "token long, class long")
 
 
-def _hash_bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (W.mix(keys.view(W.U64)) & W.U64(bits - 1)).astype(np.int64)
-
-
-class BitMap:
-    """One bit for the hash of each key; its size follows their number up to a bound, beyond which it drops less."""
-
-    def __init__(self, keys: DataFrame, count: int):
-        bits = self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            some = np.zeros(bits // 64, np.int64)
-            for batch in batches:
-                at = _hash_bit(batch.column(0).to_numpy(), bits)
-                np.bitwise_or.at(some, at >> 6, np.int64(1) << (at & 63))
-            used = np.flatnonzero(some)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(some[used])], names=["word", "bits"])
-
-        found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        self.words = np.zeros(bits // 64, np.int64)
-        self.words[found["word"].to_numpy()] = found["bits"].to_numpy()
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = _hash_bit(keys, self.bits)
-        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
-
-
 def _sets(source: DataFrame, docs: DataFrame, size: int) -> Iterator:
     """A mapping of Arrow batches that gives (ids, sets) of the rows whose id is in a table of docs, and few others."""
-    marked = BitMap(docs, docs.count())
+    marked = BitMap(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
@@ -272,20 +329,20 @@ def length_at(n: int, level: int, percent: int) -> int:
     return n if level >= LEVELS else min(n, (n - needed(n, percent) + 1) << level)
 
 
-def _sketches(source: DataFrame, docs: DataFrame, cells: np.ndarray, size: int, percent: int, seed: int) -> DataFrame:
+def _sketches(source: DataFrame, docs: DataFrame, order: tuple, size: int, percent: int, seed: int) -> DataFrame:
     """(doc, class, level, length, sketch): the longer prefixes of the documents of a table and few others."""
     texts, each = _sets(source, docs, size)
     schema = pa.schema([("doc", pa.int64()), ("class", pa.int64()), ("level", pa.int32()), ("length", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = Order(cells), set()
+        ordering, seen = Order(*order), set()
 
         def rows():
             for doc, x in each(batches):
                 key = (doc, _signed(signature(x, seed)))
                 if len(x) and key not in seen:
                     seen.add(key)
-                    ordered = order(x)
+                    ordered = ordering(x)
                     for level in range(1, LEVELS + 1):
                         length = length_at(len(x), level, percent)
                         yield *key, level, length, parity(ordered[:length])
@@ -327,7 +384,7 @@ def _small_pairs(post: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("more").alias("more"))
 
     def beyond(n: str) -> Column:
-        return F.floor((F.col(n) * percent + 99) / 100).cast("long") - 1
+        return F.col(n) - _prefix_size(F.col(n), percent)
 
     return pairs.where(_linkable(F.col("k") + F.col("more"), F.col("na"), F.col("nb"), F.greatest(beyond("na"), beyond("nb")), percent)).select("a", "b")
 
@@ -488,15 +545,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int
     return checkpointed(pairs.join(left, ["a", "da"]).join(right, ["b", "db"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Component labels after some links; labels (class, comp)."""
-    a = labels.select(F.col("class").alias("a"), F.col("comp").alias("ca"))
-    b = labels.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
-    edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (class, comp) after edges (a, b) between components: the smallest document of each."""
     found = components(edges)
     return checkpointed(labels.join(found, labels["comp"] == found["node"], "left").select("class", F.coalesce("component", "comp").alias("comp")))
 
 
+def _edges(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between classes as edges between their components."""
+    a = labels.select(F.col("class").alias("a"), F.col("comp").alias("ca"))
+    b = labels.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
+    return links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
 def _classes(source: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
     """The rows (id, n, class), the classes (class, n, doc) and the seed under which no two sets share a class."""
     for seed in range(0, 1000, 2):
@@ -514,17 +575,18 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows, classes, seed = _classes(source, size)
     known = rows.where("id is not null and n > 0")
     cells = frequent_cells(source.where("id is not null").select("text"), size)
-    shared = checkpointed(_shared(_postings(source, cells, size, percent, seed)))
+    total = classes.agg(F.sum(_prefix_size(F.col("n"), percent))).first()[0] or 0
+    order = cells, BitMap(checkpointed(crowded_tokens(source, cells, size, percent, seed, total)))
+    shared = checkpointed(_shared(_postings(source, order, size, percent, seed)))
     post = shared.join(shared.groupBy("token").agg(F.count("*").alias("cost")), "token").join(classes, "class")
 
-    same = _of_one_id(known)
-    nodes = shared.select("class").union(same.select("a")).union(same.select("b"))
-    labels = checkpointed(nodes.distinct().select("class", F.col("class").alias("comp")))
+    same = _of_one_id(known, classes)
+    labels = checkpointed(classes.join(shared.select("class").distinct(), "class", "left_semi").unionAll(classes.join(same.select("class"), "class", "left_semi")).select("class", F.col("doc").alias("comp")).distinct())
     if not same.isEmpty():
-        labels = _merged(labels, same)
+        labels = _merged(labels, same.select("a", "b"))
 
     crowded = post.where(F.col("cost") > SMALL).select("token", "class", "n", "doc", _level(F.col("cost")).alias("level"), "cost")
-    sketches = _sketches(source, crowded.select("doc").distinct(), cells, size, percent, seed)
+    sketches = _sketches(source, checkpointed(crowded.select("doc").distinct()), order, size, percent, seed)
     crowded = checkpointed(crowded.join(sketches, ["doc", "class", "level"]).select("token", "class", "n", "length", "sketch", "cost"))
 
     forests, found = 1, _small_pairs(post, percent)
@@ -533,7 +595,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         told = checkpointed(_crowded_pairs(live, forests, percent))
         pairs = told.where("a is not null").select("a", "b")
         found = (found.unionAll(pairs) if found is not None else pairs).distinct()
-        labels = _merged(labels, _verified(found, classes, source, size, percent, seed))
+        labels = _merged(labels, _edges(labels, _verified(found, classes, source, size, percent, seed)))
         again = told.where("a is null").select("token")
         if forests == 1:
             again = again.unionAll(crowded.where(F.col("cost") > block).select("token"))
@@ -543,18 +605,18 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         forests, found = forests * MORE, None
         live = _pieces(crowded.join(again, "token", "left_semi").join(labels, "class"), block, True)
 
-    least = classes.join(labels, "class", "left").select("class", "doc", F.coalesce("comp", "class").alias("comp"))
-    smallest = least.groupBy("comp").agg(F.min("doc").alias("component"))
+    component = classes.join(labels, "class", "left").select("class", F.coalesce("comp", "doc").alias("component"))
     # By id, as rows without words follow those of their id; all classes of an id are in one component.
-    of_id = known.select("id", "class").join(least.select("class", "comp"), "class").join(smallest, "comp").groupBy("id").agg(F.min("component").alias("component"))
+    of_id = known.select("id", "class").join(component, "class").groupBy("id").agg(F.min("component").alias("component"))
     out = rows.select("id", "n").join(of_id, "id", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
-def _of_one_id(known: DataFrame) -> DataFrame:
-    """(a, b): links between the classes of rows that share an id."""
-    several = known.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("hi")).where("a != hi")
-    return checkpointed(known.select("id", F.col("class").alias("b")).join(several.select("id", "a"), "id").where("a != b").select("a", "b").distinct())
+def _of_one_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, a, b): of ids with several classes, these, and the edges from the id to their documents."""
+    several = known.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("id")
+    rows = known.select("id", "class").join(several, "id").join(classes, "class")
+    return checkpointed(rows.select("class", F.col("id").alias("a"), F.col("doc").alias("b")).distinct())
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
