@@ -19,13 +19,13 @@ reachable by links.
    doubling of the cost doubles its length, up to the whole set (l = what a link must share).
    It comes as a parity sketch: a bit flips for each of its shingles, so two sketches differ
    in no more bits than the prefixes do in shingles.
-4. Pairs from small blocks, 28 a block at most, must share as many base shingles, added up
-   over blocks, as a link needs; pairs within larger blocks must share the l of their longer
+4. Blocks of the same classes are one, and larger blocks within larger ones are left out. Pairs from small blocks, 28 a block at most, must share
+   as many base shingles, added up over blocks, as a link needs; pairs within larger blocks must share the l of their longer
    prefixes by their sketches. All comparisons of a larger block run inside a task on
    ``BLOCK`` classes or twice that, and no pair leaves it but the edges of a least spanning
    forest: those that are verified on whole sets merge components.
-5. A block with a candidate pair that its forest left out, or with several pieces, is
-   searched again for pairs between different components, with ``MORE`` times as many
+5. A block with a candidate pair that its forest left out and an edge that is no link, or with
+   several pieces, is searched again for pairs between different components, with ``MORE`` times as many
    disjoint forests each time, until none is left out. So links between components are never
    missed, and what leaves the tasks stays in proportion to the postings of such blocks.
 
@@ -59,7 +59,7 @@ BLOCK = 2048
 #: Postings whose counts one bucket adds up, without copies.
 BUCKET = 1 << 14
 #: Times as many forests in each further round.
-MORE = 8
+MORE = 16
 #: Bits of the bit maps by which rows are dropped early that a join would drop anyway.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 FAR = np.int32(1 << 30)
@@ -362,11 +362,11 @@ def _small_pairs(post: DataFrame, percent: int) -> DataFrame:
 
     Shingles of larger blocks are taken as shared by as many as both have of these.
     """
-    crowded = post.groupBy("class").agg(F.count(F.when(F.col("cost") > SMALL, 1)).alias("more"))
-    rows = post.where(F.col("cost") <= SMALL).join(crowded, "class").select("token", "class", "n", "more")
+    crowded = post.groupBy("class").agg(F.sum(F.when(F.col("cost") > SMALL, F.col("times")).otherwise(0)).alias("more"))
+    rows = post.where(F.col("cost") <= SMALL).join(crowded, "class").select("token", "class", "n", "more", "times")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((4, 0), np.int64)
+        held = np.empty((5, 0), np.int64)
         for batch in batches:
             old = held.shape[1]
             t = np.hstack([held, np.stack([c.to_numpy() for c in batch.columns])])
@@ -377,11 +377,11 @@ def _small_pairs(post: DataFrame, percent: int) -> DataFrame:
                 x, y = x[1:, near], y[1:, near]
                 x, y = np.where(x[0] < y[0], x, y), np.where(x[0] < y[0], y, x)
                 if near.any():
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (x[0], y[0], x[1], y[1], np.minimum(x[2], y[2])))], names=["a", "b", "na", "nb", "more"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (x[0], y[0], x[1], y[1], np.minimum(x[2], y[2]), x[3]))], names=["a", "b", "na", "nb", "more", "times"])
             held = t[:, -SMALL:]
 
-    pairs = rows.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "a long, b long, na long, nb long, more long")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("more").alias("more"))
+    pairs = rows.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "a long, b long, na long, nb long, more long, times long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("more").alias("more"))
 
     def beyond(n: str) -> Column:
         return F.col(n) - _prefix_size(F.col(n), percent)
@@ -389,6 +389,24 @@ def _small_pairs(post: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_linkable(F.col("k") + F.col("more"), F.col("na"), F.col("nb"), F.greatest(beyond("na"), beyond("nb")), percent)).select("a", "b")
 
 
+def _allowed(pairs: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches of their whole sets allow."""
+    whole = sketches.where(F.col("level") == LEVELS).join(classes, ["class", "doc"]).select("class", "n", "sketch")
+    for x in ("a", "b"):
+        pairs = pairs.join(whole.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, both in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
+                x, y = (np.frombuffer(b, np.uint8) for b in sorted(both, key=len))
+                apart[i] = np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum(dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(_linkable((na + nb - apart) // 2, na, nb, 0, percent)))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").dropDuplicates()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows that agree in the first columns."""
     held: list[pa.RecordBatch] = []
@@ -578,25 +596,30 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = classes.agg(F.sum(_prefix_size(F.col("n"), percent))).first()[0] or 0
     order = cells, BitMap(checkpointed(crowded_tokens(source, cells, size, percent, seed, total)))
     shared = checkpointed(_shared(_postings(source, order, size, percent, seed)))
-    post = shared.join(shared.groupBy("token").agg(F.count("*").alias("cost")), "token").join(classes, "class")
+    post = checkpointed(shared.join(_unlike_blocks(shared), "token").join(classes, "class"))
 
     same = _of_one_id(known, classes)
     labels = checkpointed(classes.join(shared.select("class").distinct(), "class", "left_semi").unionAll(classes.join(same.select("class"), "class", "left_semi")).select("class", F.col("doc").alias("comp")).distinct())
     if not same.isEmpty():
         labels = _merged(labels, same.select("a", "b"))
 
-    crowded = post.where(F.col("cost") > SMALL).select("token", "class", "n", "doc", _level(F.col("cost")).alias("level"), "cost")
-    sketches = _sketches(source, checkpointed(crowded.select("doc").distinct()), order, size, percent, seed)
+    crowded = _outer_blocks(post.where(F.col("cost") > SMALL)).select("token", "class", "n", "doc", _level(F.col("cost")).alias("level"), "cost")
+    found = checkpointed(_small_pairs(post, percent))
+    ends = found.select(F.col("a").alias("class")).union(found.select("b")).distinct().join(classes, "class")
+    sketches = checkpointed(_sketches(source, checkpointed(crowded.select("doc").union(ends.select("doc")).distinct()), order, size, percent, seed))
+    found = _allowed(found, classes, sketches, percent)
     crowded = checkpointed(crowded.join(sketches, ["doc", "class", "level"]).select("token", "class", "n", "length", "sketch", "cost"))
 
-    forests, found = 1, _small_pairs(post, percent)
+    forests = 1
     live = _pieces(crowded.join(labels, "class"), block, False)
     while True:
         told = checkpointed(_crowded_pairs(live, forests, percent))
         pairs = told.where("a is not null").select("a", "b")
-        found = (found.unionAll(pairs) if found is not None else pairs).distinct()
-        labels = _merged(labels, _edges(labels, _verified(found, classes, source, size, percent, seed)))
-        again = told.where("a is null").select("token")
+        links = _verified((found.unionAll(pairs) if found is not None else pairs).distinct(), classes, source, size, percent, seed)
+        labels = _merged(labels, _edges(labels, links))
+        # Where all edges of a block link, none of its pairs is left between components.
+        failed = told.where("a is not null").join(links, ["a", "b"], "left_anti").select("token")
+        again = told.where("a is null").select("token").join(failed, "token", "left_semi")
         if forests == 1:
             again = again.unionAll(crowded.where(F.col("cost") > block).select("token"))
         again = checkpointed(again.distinct())
@@ -612,6 +635,20 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
+def _unlike_blocks(shared: DataFrame) -> DataFrame:
+    """(token, cost, times): one token of those that the same classes have, and how many these are."""
+    classes = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    tokens = shared.groupBy("token").agg(F.count("*").alias("cost"), *classes)
+    return tokens.groupBy("cost", "x0", "x1").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "cost", "times")
+
+
+def _outer_blocks(crowded: DataFrame) -> DataFrame:
+    """Without the blocks whose classes all have one and the same larger block as their largest, which compares them too."""
+    largest = crowded.groupBy("class").agg(F.max(F.struct("cost", "token"))["token"].alias("largest"))
+    within = crowded.select("token", "class").join(largest, "class").groupBy("token").agg(F.min("largest").alias("lo"), F.max("largest").alias("hi"))
+    return crowded.join(within.where("lo = hi and lo != token").select("token"), "token", "left_anti")
+
+
 def _of_one_id(known: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, a, b): of ids with several classes, these, and the edges from the id to their documents."""
     several = known.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("id")
