@@ -273,12 +273,15 @@ def line_distance(s: Segment, p: Point) -> Column:
 
 
 def signed_line_distance(s: Segment, p: Point) -> Column:
-    """Distance to the line; its sign tells the side of the direction of travel."""
-    dx, dy = s.x2 - s.x1, s.y2 - s.y1
-    upright = F.when(s.y1 < s.y2, s.x1 - p.x).otherwise(p.x - s.x1)
-    level = F.when(s.x1 < s.x2, p.y - s.y1).otherwise(s.y1 - p.y)
-    slanted = F.try_divide((s.x1 - p.x) * dy - dx * (s.y1 - p.y), F.sqrt(dx * dx + dy * dy))
-    return F.when(near(s.x2, s.x1), upright).when(near(s.y2, s.y1), level).otherwise(slanted)
+    """Distance to the line, positive to the left of the direction of travel.
+
+    The area that the segment and the point span, over the segment's length. A segment of no
+    length counts as an upright line.
+    """
+    along = Point(s.x2 - s.x1, s.y2 - s.y1)
+    length = F.hypot(along.x, along.y)
+    spanned = along.x * (p.y - s.y1) - along.y * (p.x - s.x1)
+    return F.when(length > 0, spanned / length).otherwise(p.x - s.x1)
 
 
 def farthest_line_distance(s: Segment, b: Region) -> Column:
@@ -288,9 +291,9 @@ def farthest_line_distance(s: Segment, b: Region) -> Column:
 
 
 def perpendicular_angle(s: Segment) -> Column:
-    """Angle of the ray across a segment: 0 if it is upright, half pi if it is level."""
-    slope = F.try_divide(-(s.x1 - s.x2), s.y1 - s.y2)
-    return F.when(near(s.x1, s.x2), 0.0).when(near(s.y1, s.y2), math.pi / 2).otherwise(F.atan(slope))
+    """Angle above minus and up to plus half pi of the ray across a segment: half pi if it is level."""
+    run, rise = s.x1 - s.x2, s.y2 - s.y1
+    return F.atan2(F.when(rise == 0, F.abs(run)).otherwise(run * F.signum(rise) + 0.0), F.abs(rise))
 
 
 def intersects_nd(alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:

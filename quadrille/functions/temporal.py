@@ -61,6 +61,8 @@ class Interval(Span):
     kind: Column | str = RIGHT_OPEN
 
     def __post_init__(self) -> None:
+        if isinstance(self.t0, (int, float)) and isinstance(self.t1, (int, float)) and self.t0 > self.t1:
+            raise ValueError("an interval can't end before it starts")
         super().__post_init__()
         self.kind = F.lit(self.kind) if isinstance(self.kind, str) else self.kind
 
@@ -73,13 +75,14 @@ class Interval(Span):
         return self.kind.isin(CLOSED, LEFT_OPEN)
 
 
+def _holds(a: Interval, t: Column) -> Column:
+    return ((a.t0 < t) | ((a.t0 == t) & a.has_low)) & ((t < a.t1) | ((t == a.t1) & a.has_high))
+
+
 def intervals_intersect(a: Interval, b: Interval) -> Column:
-    """Whether the intervals share a point; ends that meet count if both have them."""
-    apart = (a.t0 > b.t1) | (a.t1 < b.t0)
-    inside = ((a.t0 > b.t0) & (a.t0 < b.t1)) | ((a.t1 > b.t0) & (a.t1 < b.t1))
-    met_low = F.when(a.t0 == b.t1, a.has_low & b.has_high)
-    met_high = F.when(a.t1 == b.t0, a.has_high & b.has_low)
-    return F.when(apart, False).when(inside, True).otherwise(F.coalesce(met_low, met_high, F.lit(True)))
+    """Whether the later start comes before the earlier end, or both meet in a point that either interval holds."""
+    start, end = F.greatest(a.t0, b.t0), F.least(a.t1, b.t1)
+    return (start < end) | ((start == end) & _holds(a, start) & _holds(b, start))
 
 
 def interval_contains(a: Interval, b: Interval) -> Column:

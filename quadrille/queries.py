@@ -485,12 +485,25 @@ def line_distance(s):
     return s.select("id", F.round(S.line_distance(line, p), 6).alias("distance"), F.round(S.signed_line_distance(line, p), 6).alias("signed"), F.round(S.farthest_line_distance(line, window()), 6).alias("farthest"), F.round(S.perpendicular_angle(line), 6).alias("angle"))
 
 
-@query("rect_r", "SELECT count(*)::bigint AS rows, sum(id)::bigint AS ids FROM rect_r WHERE xlo <= xhi AND ylo <= yhi")
+@query("rect_r", "SELECT id, round(xlo, 9) AS xlo, round(ylo, 9) AS ylo, round(xhi, 9) AS xhi, round(yhi, 9) AS yhi FROM rect_r WHERE id % 7 != 3")
 def mbr_text_lines(r):
-    """Box rows as text and read again from it."""
-    f = F.split("value", " ")
-    back = text.mbr_lines(r).select(F.get(f, 1).cast("long").alias("id"), *(F.get(f, i).cast("double").alias(c) for i, c in enumerate(join.SIDES, 2)))
-    return back.where(text.valid()).agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+    """Box rows as text and read again from it, every seventh line spoilt."""
+    return _rounded(text.boxes_of(_spoilt(r)))
+
+
+@query("rect_r", "SELECT (id % 14 // 7)::bigint AS kind, count(*)::bigint AS rows FROM rect_r WHERE id % 7 = 3 GROUP BY ALL")
+def mbr_text_rejects(r):
+    """The spoilt lines by what is wrong: a field too few, or sides the wrong way round."""
+    f = F.size(F.split("value", " "))
+    return text.mbr_rejects(_spoilt(r)).groupBy((f - 5).cast("long").alias("kind")).agg(F.count("*").alias("rows"))
+
+
+def _spoilt(r: DataFrame) -> DataFrame:
+    bad = r.where("id % 7 = 3").select("id", "xlo", "ylo", (F.col("xlo") - 1).alias("xhi"), "yhi")
+    short = F.regexp_replace("value", " [^ ]*$", "")
+    lines = text.mbr_lines(bad)
+    odd = F.get(F.split("value", " "), F.lit(1)).cast("long") % 14 >= 7
+    return text.mbr_lines(r.where("id % 7 != 3")).unionAll(lines.select(F.when(odd, F.col("value")).otherwise(short).alias("value")))
 
 
 def _line(s: DataFrame, quoted: bool) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.join import SIDES
 
 #: The format of a box row is "op id xlo ylo xhi yhi", op is 1.
-MBR = "op int, id long, xlo double, ylo double, xhi double, yhi double"
 INSERT = 1
 
 
@@ -21,11 +19,37 @@ def valid() -> Column:
     return ok & (F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi"))
 
 
-def read_mbr(spark: SparkSession, path: str) -> DataFrame:
-    """Valid boxes of a text file; another operation than 1 is an error."""
-    rows = spark.read.schema(MBR).option("sep", " ").option("mode", "DROPMALFORMED").csv(path)
-    op = F.when(F.col("op") == INSERT, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(F.col("op").cast("string"), F.lit("null")))))
-    return rows.select(op.cast("long").alias("id"), *SIDES).where(valid())
+def parsed_mbr(lines: DataFrame) -> DataFrame:
+    """op, id and sides of lines (value); null where a line has another number of fields or no number."""
+    field = lambda i, kind: F.when(F.size("fields") == 6, F.get("fields", F.lit(i)).try_cast(kind))
+    # Behind an explode, so that no filter repeats the splitting for each field.
+    split = lines.select("value", F.explode(F.array(F.split(F.trim("value"), r"\s+"))).alias("fields"))
+    return split.select("value", field(0, "int").alias("op"), field(1, "long").alias("id"), *(field(i, "double").alias(c) for i, c in enumerate(SIDES, 2)))
+
+
+def _box_row() -> Column:
+    return F.coalesce(F.col("op").isNotNull() & F.col("id").isNotNull() & valid(), F.lit(False))
+
+
+def boxes_of(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """Boxes of lines (value). Another operation than 1 is an error, with ``strict`` each other bad line too.
+
+    The test is part of the filter, so it holds whichever columns are used later.
+    """
+    error = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.col("value"))).cast("boolean")
+    bad = error("not a box") if strict else F.lit(False)
+    keep = F.when(F.col("op") != INSERT, error("unknown operation")).when(_box_row(), True).otherwise(bad)
+    return parsed_mbr(lines).where(keep).select("id", *SIDES)
+
+
+def read_mbr(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Boxes of a text file, as ``boxes_of``; what is left out is told by ``mbr_rejects``."""
+    return boxes_of(spark.read.text(path), strict)
+
+
+def mbr_rejects(lines: DataFrame) -> DataFrame:
+    """Lines (value) that are no box: fields missing or no numbers, NaN, low sides above high ones, another operation."""
+    return parsed_mbr(lines).where(~_box_row() | (F.col("op") != INSERT)).select("value")
 
 
 def mbr_lines(t: DataFrame) -> DataFrame:
@@ -38,9 +62,17 @@ def write_mbr(t: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their numbers from 0 in file order, which only an RDD can give without one task."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0]["value"]))
-    return lines.toDF(T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.StringType())]))
+    """Lines with their numbers from 0, by file name and place in the file.
+
+    Lines are counted by split; a line's number is its place in its split and the lines of
+    the splits before, of which there is one row each.
+    """
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("at"))
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    before = F.sum("rows").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(splits), ["file", "start"]).select((F.col("at") - F.col("first") + F.col("before")).alias("id"), "value")
 
 
 def _sides(coordinates: Column) -> list[Column]:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -174,9 +175,35 @@ def test_text_files(spark, tmp_path):
     assert sorted(r["id"] for r in text.read_mbr(spark, str(tmp_path / "b")).collect()) == [7, 10]
     (tmp_path / "c").write_text("2 7 0 0 1 1\n")
     with pytest.raises(Exception, match="unknown operation"):
-        text.read_mbr(spark, str(tmp_path / "c")).collect()
+        text.read_mbr(spark, str(tmp_path / "c")).count()
+    (tmp_path / "e").write_text("1 7 0 0 1 1\n1 8 0 0 1\n1 x 0 0 1 1\n1 9 2 0 1 1\n")
+    assert [r["id"] for r in text.read_mbr(spark, str(tmp_path / "e")).collect()] == [7]
+    assert text.mbr_rejects(spark.read.text(str(tmp_path / "e"))).count() == 3
+    with pytest.raises(Exception, match="not a box"):
+        text.read_mbr(spark, str(tmp_path / "e"), strict=True).count()
     (tmp_path / "d").write_text("a\nb\nc\n")
     assert [tuple(r) for r in text.numbered(spark, str(tmp_path / "d")).collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    (tmp_path / "f").mkdir()
+    for name, n in (("a", 3), ("b", 2000), ("c", 5)):
+        (tmp_path / "f" / name).write_text("".join(f"{name}{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = sorted(map(tuple, text.numbered(spark, str(tmp_path / "f")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == list(enumerate(f"{name}{i}" for name, n in (("a", 3), ("b", 2000), ("c", 5)) for i in range(n)))
+
+
+def test_lines_and_intervals(spark):
+    up, down, level, back, none = (S.Segment(0.0, 0.0, *xy) for xy in ((0.0, 2.0), (0.0, -2.0), (2.0, 0.0), (-2.0, 0.0), (0.0, 0.0)))
+    at = S.Point(3.0, 1.0)
+    assert [value(spark, S.signed_line_distance(s, at)) for s in (up, down, level, back, none)] == [-3, 3, 1, -1, 3]
+    assert [value(spark, S.perpendicular_angle(s)) for s in (up, down, level, back, none)] == pytest.approx([0, 0, math.pi / 2, math.pi / 2, 0])
+    assert value(spark, S.perpendicular_angle(S.Segment(0.0, 0.0, 1.0, -1.0))) == pytest.approx(math.pi / 4)
+    same = lambda kind: value(spark, T.intervals_intersect(T.Interval(5.0, 5.0, kind), T.Interval(5.0, 5.0, kind)))
+    assert same(T.CLOSED) and not same(T.RIGHT_OPEN)
+    with pytest.raises(ValueError):
+        T.Interval(2.0, 1.0)
 
 
 def test_callback_source(spark, tmp_path):
