@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages, each written as Parquet and reread as the next one's input.
 
-Every stage but the last returns the columns of documents.
+Every stage but the last returns the columns of documents. Null texts count as empty: toxicity
+scores them low, nothing links or repeats in them, and they are encoded as no ids. Null and
+repeated ids stay distinct rows; of rows that are copies one goes on. Columns beside text may
+hold nulls; further columns go through up to the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents. Each stage's rows are deleted once the next one's are written; the last ones read stay for the lazy result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = shared_folder(spark)
     at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}" if folder else None
     for name, stage in STAGES[:-1]:
@@ -65,6 +69,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if at:
             docs.write.parquet(f"{at}/{name}")
             docs = spark.read.parquet(f"{at}/{name}")
+            if before:
+                _delete(spark, before)
+            before = f"{at}/{name}"
         else:
             docs = checkpointed(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

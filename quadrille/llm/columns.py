@@ -18,6 +18,7 @@ def with_text_columns(docs: DataFrame, text: str, keep: Sequence[str] | None, ad
     ``make`` builds the kernel once per task. A kept column that bears the name of an added
     one is replaced. Other columns go through as they are.
     """
+    lean(docs)
     names = [f.name for f in added]
     rest = [c for c in (docs.columns if keep is None else keep) if c not in names]
     source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").cast("string").alias("__text"))
@@ -28,12 +29,21 @@ def with_text_columns(docs: DataFrame, text: str, keep: Sequence[str] | None, ad
         for batch in batches:
             if not batch.num_rows:
                 continue
-            made = kernel(batch.column(batch.schema.get_field_index("__text")))
+            made = kernel(batch.column(len(rest)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], names=[*rest, *names])
 
     return source.mapInArrow(run, schema)
 
 
+def lean(df: DataFrame) -> None:
+    """Keeps the session's Arrow batches small, as tasks hold several copies of one; never raises what is set lower."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 1 << 24)):
+        now = str(conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def fold_of(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % folds

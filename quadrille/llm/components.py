@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's shared folder; a folder of its own only where none is set."""
+    """Cuts the lineage in the cluster's shared folder; a folder of its own only in local mode, where none is set."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = shared_folder(spark)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()
 
 

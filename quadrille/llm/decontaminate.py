@@ -22,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import checkpointed
+
 WORDS, SHARE = 5, 0.8
-#: Rows of the sketch index up to which it is broadcast, about 3 MB; beyond, it is shuffled.
+#: Rows up to which the sketch index (about 3 MB) and the candidates are broadcast; beyond, they are shuffled.
 BROADCAST_ROWS = 100_000
 
 
@@ -62,8 +64,9 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, size: int) -> DataF
     """(doc key, item keys): each pair with a hash of the item's sketch in the document."""
     hashes = F.array_sort(F.transform("item_shingles", lambda s: F.xxhash64(s)))
     sketch = items.select("item_key", "need", "size_class", F.explode(F.slice(hashes, 1, (F.col("n_item") - F.col("need") + 1).cast("int"))).alias("hash"))
-    least = F.min("need").over(_by_class())
-    sketch = sketch.withColumn("least", least).select("item_key", "least", "hash")
+    # One row for each power of two.
+    least = items.groupBy("size_class").agg(F.min("need").alias("least"))
+    sketch = sketch.join(F.broadcast(least), "size_class").select("item_key", "least", "hash")
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
     sets = with_words(docs, text).select("__doc", "__text_hash", F.greatest(F.size("__words") - size + 1, F.lit(1)).alias("__n"), shingle_texts(F.col("__words"), size).alias("__shingles"))
@@ -72,17 +75,13 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, size: int) -> DataF
     return found.groupBy("__doc", "__text_hash").agg(F.collect_set("item_key").alias("__items"))
 
 
-def _by_class():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("size_class")
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WORDS, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_item, n_found, containment, and text_hash that tells rows of one id apart."""
     items = items_of(benchmark, item_id, item_text, size, share)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("__doc"), F.xxhash64(F.col(f"`{text}`")).alias("__text_hash"), F.col(f"`{text}`").alias("__text"))
-    pairs = candidates(keyed.withColumnRenamed("__text", "text"), items, "text", size)
+    pairs = checkpointed(candidates(keyed.withColumnRenamed("__text", "text"), items, "text", size))
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
     near = keyed.alias("d").join(pairs.alias("p"), F.col("d.__text_hash").eqNullSafe(F.col("p.__text_hash")) & F.col("d.__doc").eqNullSafe(F.col("p.__doc")))
     near = with_words(near.select("d.__doc", "d.__text_hash", "p.__items", "d.__text"), "__text").select("__doc", "__text_hash", "__items", F.array_distinct(shingle_texts(F.col("__words"), size)).alias("__set"))
     near = near.select("__doc", "__text_hash", "__set", F.explode("__items").alias("item_key"))

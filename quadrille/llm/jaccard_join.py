@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as W
+from .columns import lean
 from .components import checkpointed, components
 
 SIZE, PERCENT = 4, 85
@@ -590,6 +591,7 @@ def _classes(source: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component of each row."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    lean(docs)
     rows, classes, seed = _classes(source, size)
     known = rows.where("id is not null and n > 0")
     cells = frequent_cells(source.where("id is not null").select("text"), size)

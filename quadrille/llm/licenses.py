@@ -122,15 +122,16 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + OWN, text: str
 
 
 def summary(scanned: DataFrame, base: int = len(BASE)) -> DataFrame:
-    """Per document the base places' number, first and last start, labels and best share."""
+    """Per document the base places' number, first and last start, labels and best share; columns of these names are replaced."""
     is_base = F.filter("places", lambda p: p["template"] < base)
     starts = F.transform(is_base, lambda p: p["start"])
 
     def labels(places: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
 
+    made = ("n_base", "first_word", "last_word", "base_labels", "labels", "score")
     return scanned.select(
-        "*",
+        *(F.col(f"`{c}`") for c in scanned.columns if c not in made),
         F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, jaccard_join, licenses, lm_score, quality, spm_codec, substring_dedup, token_counts, toxicity
 from .columns import fold_of
 
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "")
-
-
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     """Where a public tokenizer file lies."""
-    if TOKENIZERS:
-        return os.path.join(TOKENIZERS, name)
     import public_tokenizers
 
     return public_tokenizers.path(name)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import lean
 from .pieces import ChunkTable
 
 #: Characters of text that one output batch holds, unless one document is longer.
@@ -40,20 +41,21 @@ def text_groups(texts: list[str], most: int = BATCH_CHARS) -> Iterator[tuple[int
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    lean(docs)
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
-    source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("__text")) if text in rest else docs
+    source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
+            texts = [t or "" for t in batch.column(len(rest)).to_pylist()]
             for i, j in text_groups(texts):
                 ids, decoded = table.encode(texts[i:j])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 part = batch.slice(i, j - i)
-                arrays = [part.column(part.schema.get_field_index(c)) for c in rest]
+                arrays = [part.column(k) for k in range(len(rest))]
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "ids", "decoded"])
 

@@ -41,10 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as W
+from .columns import lean
+from .components import checkpointed
 
 WINDOW, ANCHOR = 35, 8
 #: Words of distinct contents of one anchor that one task takes into an automaton.
 SHARD_WORDS = 50_000
+#: A key with more than one in so many rows is hot.
+HOT = 1000
 
 
 class SuffixAutomaton:
@@ -194,26 +198,46 @@ def _same(a: str, b: str):
 
 
 def repeats(source: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc, text_hash, start, windows) of a ``keyed`` table: rows of repeated windows, which can touch or overlap."""
+    """(doc, text_hash, spans) of a ``keyed`` table: starts and numbers of repeated windows, which can touch or overlap."""
     if size <= ANCHOR:
         raise ValueError(f"a window needs more than {ANCHOR} words")
     segments = _segments(source.select("doc", "text_hash", "text"), size)
     # An anchor has several contents if the smallest and largest content hash differ.
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    anchors = anchors.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    near = segments.join(anchors, "anchor").persist(StorageLevel.MEMORY_AND_DISK)
+    anchors = checkpointed(anchors.where("n > 1").select("anchor", "n", (F.col("lo") != F.col("hi")).alias("value")))
+    near = _looked_up(segments, anchors, "anchor").withColumnRenamed("value", "mixed").persist(StorageLevel.MEMORY_AND_DISK)
     place = ["doc", "text_hash", "start", "windows"]
     mixed = near.where("mixed")
     # The anchor is part of the content, so the two hashes together identify it by 128 bits.
     contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in place)).persist(StorageLevel.MEMORY_AND_DISK)
-    load = contents.groupBy("anchor").agg(F.sum(F.col("windows") + (size - 1)).alias("words"))
-    parts = _with_words(contents.join(load, "anchor"), source, size)
+    load = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + (size - 1)).alias("value"))
+    parts = _with_words(_looked_up(contents, load, "anchor").withColumnRenamed("value", "words"), source, size)
     small = parts.where(F.col("words") <= SHARD_WORDS).drop("words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard_kernel(size), SPAN)
     windows = parts.where(F.col("words") > SHARD_WORDS).mapInArrow(_window_kernel(size), SPAN + ", h1 long, h2 long")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    large = windows.join(again, ["h1", "h2"], "left_semi").select(place)
-    whole = near.where("not mixed").select(place).unionAll(mixed.join(contents.where("n > 1"), ["anchor", "content"], "left_semi").select(place))
-    return whole.unionAll(small).unionAll(large)
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    large = windows.join(twice, ["h1", "h2"], "left_semi").select(place)
+    again = contents.where("n > 1").select("anchor", "content", "n", F.lit(True).alias("value"))
+    whole = near.where("not mixed").select(place).unionAll(_looked_up(mixed, again, "anchor", "content").select(place))
+    spans = checkpointed(whole.unionAll(small).unionAll(large).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans")))
+    near.unpersist()
+    contents.unpersist()
+    return spans
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys are in a table (keys, n, value), with the value; n tells how many rows a key has.
+
+    Keys with more than one in ``HOT`` of all rows, of which there are fewer than ``HOT``, are
+    broadcast; the rows of the others are shuffled, each key to its task, and the rows of
+    the hot keys are dealt out evenly.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(table.where(F.col("n") * HOT > total).select(*keys, F.col("value").alias("hot")))
+    cold = table.where(F.col("n") * HOT <= total).select(F.col(keys[0]).alias("key"), *keys[1:], "value")
+    key = F.when(F.col("hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64("doc", "text_hash", "start"))
+    out = rows.join(hot, list(keys), "left").withColumn("key", key)
+    out = out.join(cold, ["key", *keys[1:]], "left").withColumn("value", F.coalesce("hot", "value"))
+    return out.where("value is not null").drop("hot", "key")
 
 
 def _with_words(left: DataFrame, source: DataFrame, size: int) -> DataFrame:
@@ -316,9 +340,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     replaced.
     """
     source = keyed(docs, doc_id, text)
-    listed = repeats(source, size).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    lean(docs)
+    listed = repeats(source, size)
     rest = [c for c in docs.columns if c not in (text, "n_words", "n_removed")]
-    out = source.alias("d").join(listed.alias("l"), _same("d", "l"), "left").select(*(F.col(f"d.row.`{c}`") for c in rest), F.col("d.text").alias("__text"), "l.spans")
+    out = source.alias("d").join(listed.alias("l"), _same("d", "l"), "left").select(*(F.col(f"d.row.`{c}`") for c in rest), F.col("d.text").alias("__text"), F.col("l.spans").alias("__spans"))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

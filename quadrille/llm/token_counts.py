@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import lean
 from .pieces import PrefixTable
 from .spm_codec import text_groups
 
@@ -29,14 +30,15 @@ ADDED = ("n_bytes", "n_tokens", "cut_chars")
 
 
 def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, text: str = "text") -> DataFrame:
+    lean(docs)
     rest = [c for c in docs.columns if c not in ADDED]
-    source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, T.LongType(), False) for c in ADDED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PrefixTable(model_path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__text"))
+            column = batch.column(len(rest))
             found = np.zeros((len(ADDED), batch.num_rows), np.int64)
             texts = [t or "" for t in column.to_pylist()]
             for first, end in text_groups(texts):
@@ -44,7 +46,7 @@ def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, text: str
                     if n := int(counts[-1]) if len(counts) else 0:
                         t = texts[i]
                         found[:, i] = len(t.encode()), n, len(t) if n <= budget else table.cut(parts, counts, budget)
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+            arrays = [batch.column(k) for k in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, found)], names=[*rest, *ADDED])
 
     return source.mapInArrow(run, schema)
