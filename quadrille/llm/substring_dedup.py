@@ -211,9 +211,10 @@ def repeats(source: DataFrame, size: int = WINDOW) -> DataFrame:
     # The anchor is part of the content, so the two hashes together identify it by 128 bits.
     contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in place)).persist(StorageLevel.MEMORY_AND_DISK)
     load = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + (size - 1)).alias("value"))
-    parts = _with_words(_looked_up(contents, load, "anchor").withColumnRenamed("value", "words"), source, size)
-    small = parts.where(F.col("words") <= SHARD_WORDS).drop("words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard_kernel(size), SPAN)
-    windows = parts.where(F.col("words") > SHARD_WORDS).mapInArrow(_window_kernel(size), SPAN + ", h1 long, h2 long")
+    loaded = _looked_up(contents, load, "anchor").withColumnRenamed("value", "words")
+    parts = _with_words(loaded.where(F.col("words") <= SHARD_WORDS), source, size)
+    small = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard_kernel(size), SPAN)
+    windows = _with_words(loaded.where(F.col("words") > SHARD_WORDS), source, size, _window_kernel(size), SPAN + ", h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     large = windows.join(twice, ["h1", "h2"], "left_semi").select(place)
     again = contents.where("n > 1").select("anchor", "content", "n", F.lit(True).alias("value"))
@@ -240,12 +241,15 @@ def _looked_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
     return out.where("value is not null").drop("hot", "key")
 
 
-def _with_words(left: DataFrame, source: DataFrame, size: int) -> DataFrame:
-    """Brings each segment the hashes of its words, 6 bytes each, from the document that holds it."""
-    listed = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "words", "n", "start", "windows")).alias("segments"))
+WORDS_OF_SEGMENT = "anchor long, n long, doc long, text_hash long, start int, windows int, hashes binary"
+
+
+def _with_words(left: DataFrame, source: DataFrame, size: int, then=None, schema: str = WORDS_OF_SEGMENT) -> DataFrame:
+    """Brings each segment the hashes of its words, 6 bytes each, from the document that holds it; ``then`` maps its batches in the same task."""
+    listed = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "n", "start", "windows")).alias("segments"))
     both = source.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc", "d.text_hash", "d.text", "l.segments", "d.row")
-    names = ["anchor", "words", "n", "doc", "text_hash", "start", "windows", "hashes"]
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+    names = ["anchor", "n", "doc", "text_hash", "start", "windows", "hashes"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,11 +261,11 @@ def _with_words(left: DataFrame, source: DataFrame, size: int) -> DataFrame:
                     h = np.ascontiguousarray(w.hashes[w.bounds[i] : w.bounds[i + 1], None].view(np.uint8)[:, :6])
                     doc, mark = ids[s.first + i].as_py(), marks[s.first + i].as_py()
                     for x in lists[s.first + i].as_py():
-                        rows.append((x["anchor"], x["words"], x["n"], doc, mark, x["start"], x["windows"], h[x["start"] : x["start"] + x["windows"] + size - 1].tobytes()))
+                        rows.append((x["anchor"], x["n"], doc, mark, x["start"], x["windows"], h[x["start"] : x["start"] + x["windows"] + size - 1].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return both.mapInArrow(run, "anchor long, words long, n long, doc long, text_hash long, start int, windows int, hashes binary")
+    return both.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 def _hashes(blob: bytes) -> np.ndarray:
@@ -318,7 +322,7 @@ def _window_kernel(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for doc, mark, start, blob in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 7)), strict=True):
+            for doc, mark, start, blob in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 6)), strict=True):
                 h = _hashes(blob)
                 h1, h2 = W.rolling(h, size, 11), W.rolling(h, size, 29)
                 columns[0] += [doc] * len(h1)
