@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as W
-from .columns import lean
+from .columns import lean, tidied
 from .components import checkpointed, components
 
 SIZE, PERCENT = 4, 85
@@ -103,7 +103,7 @@ def frequent_cells(texts: DataFrame, size: int) -> np.ndarray:
         some = np.flatnonzero(counts >= FREQUENT + 6 * total // CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some].astype(np.int64))], names=["cell", "count"])
 
-    found = texts.mapInArrow(run, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count"))
+    found = texts.mapInArrow(tidied(run), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count"))
     rows = found.orderBy(F.desc("count"), "cell").limit(MOST_CELLS).collect()
     return np.array([r["cell"] for r in rows][::-1], np.int64)
 
@@ -181,7 +181,7 @@ def _documents(source: DataFrame, size: int, seed: int) -> DataFrame:
                 n, first, second = (np.array(c, k) for c, k in zip(zip(*found, strict=True), (np.int64, W.U64, W.U64), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(n)), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], names=["id", "n", "class", "second"])
 
-    return source.mapInArrow(run, "id long, n long, class long, second long")
+    return source.mapInArrow(tidied(run), "id long, n long, class long, second long")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], order: Order, size: int, percent: int, seed: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -220,7 +220,7 @@ def crowded_tokens(source: DataFrame, cells: np.ndarray, size: int, percent: int
         for _, prefixes in _prefixes(batches, Order(cells, None), size, percent, seed):
             parts += prefixes
             held += sum(map(len, prefixes))
-            if held > 1 << 21:
+            if held > 1 << 20:
                 yield counted(parts)
                 parts, held = [], 0
         if parts:
@@ -232,7 +232,7 @@ def crowded_tokens(source: DataFrame, cells: np.ndarray, size: int, percent: int
             counts = np.bincount(at, np.frombuffer(b"".join(block.column("counts").to_pylist()), np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(tokens[counts > SMALL].view(np.int64))], names=["token"])
 
-    counts = source.where("id is not null").mapInArrow(run, "bucket long, tokens binary, counts binary")
+    counts = source.where("id is not null").mapInArrow(tidied(run), "bucket long, tokens binary, counts binary")
     return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "token long")
 
 
@@ -244,7 +244,7 @@ def _postings(source: DataFrame, order: tuple, size: int, percent: int, seed: in
             classes = np.repeat(signs, [len(p) for p in prefixes])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(classes.view(np.int64))], names=["token", "class"])
 
-    return source.where("id is not null").mapInArrow(run, "token long, class long")
+    return source.where("id is not null").mapInArrow(tidied(run), "token long, class long")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def _whole_sets(source: DataFrame, docs: DataFrame, size: int, seed: int) -> Dat
 
         yield from _some(rows(), schema)
 
-    return texts.mapInArrow(run, "doc long, class long, set binary")
+    return texts.mapInArrow(tidied(run), "doc long, class long, set binary")
 
 
 def _level(cost: Column) -> Column:
@@ -350,7 +350,7 @@ def _sketches(source: DataFrame, docs: DataFrame, order: tuple, size: int, perce
 
         yield from _some(rows(), schema)
 
-    return texts.mapInArrow(run, "doc long, class long, level int, length long, sketch binary")
+    return texts.mapInArrow(tidied(run), "doc long, class long, level int, length long, sketch binary")
 
 
 def _linkable(k, na, nb, rest, percent: int):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as W
-from .columns import with_text_columns
+from .columns import tidied, with_text_columns
 from .components import checkpointed
 
 GROUPS, IN_GROUP, HASHED, DIM = 64, 64, 64, 16
@@ -89,7 +89,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for i in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], names=["hash", "count"])
 
-    return texts.mapInArrow(run, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
+    return texts.mapInArrow(tidied(run), "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
 
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
@@ -122,7 +122,7 @@ def rare_words(texts: DataFrame, words: Vocabulary) -> DataFrame:
                 n = np.diff(np.r_[first, len(h)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[s.first + row[first]]), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "hash", "n"])
 
-    return texts.mapInArrow(run, "key long, hash long, n long")
+    return texts.mapInArrow(tidied(run), "key long, hash long, n long")
 
 
 def rare_logs(texts: DataFrame, words: Vocabulary) -> DataFrame:
@@ -273,7 +273,7 @@ def train(texts: DataFrame, words: Vocabulary) -> np.ndarray:
         yield _blob(total, n)
 
     schema = "parameters binary, tokens long"
-    sums = texts.mapInArrow(run, schema)
+    sums = texts.mapInArrow(tidied(run), schema)
     parts = max(1, sums.rdd.getNumPartitions())
     while parts > 1:
         parts = -(-parts // FAN)

@@ -21,7 +21,7 @@ import sentencepiece
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct chunks and prefixes that a task keeps; a full table is emptied.
-MOST_CHUNKS, MOST_PREFIXES, MOST_PAIRS = 400_000, 100_000, 300_000
+MOST_CHUNKS, MOST_PREFIXES, MOST_PAIRS = 200_000, 100_000, 300_000
 
 
 def load(path: str) -> sentencepiece.SentencePieceProcessor:

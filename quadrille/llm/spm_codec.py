@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import lean
+from .columns import lean, tidied
 from .pieces import ChunkTable
 
 #: Characters of text that one output batch holds, unless one document is longer.
@@ -59,4 +59,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataF
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "ids", "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as W
-from .columns import lean
+from .columns import lean, tidied
 from .components import checkpointed
 
 WINDOW, ANCHOR = 35, 8
@@ -175,7 +175,7 @@ def _segments(keyed: DataFrame, size: int) -> DataFrame:
                     first, count, *hashes = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
                     yield pa.RecordBatch.from_arrays([ids.take(at), marks.take(at), pa.array(first, pa.int32()), pa.array(count, pa.int32()), *(pa.array(x.view(np.int64)) for x in hashes)], schema=_arrow(SEGMENT))
 
-    return keyed.mapInArrow(run, SEGMENT)
+    return keyed.mapInArrow(tidied(run), SEGMENT)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -265,7 +265,7 @@ def _with_words(left: DataFrame, source: DataFrame, size: int, then=None, schema
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return both.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
+    return both.mapInArrow(tidied((lambda batches: then(run(batches))) if then else run), schema)
 
 
 def _hashes(blob: bytes) -> np.ndarray:
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 n_removed.append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*rest, text, "n_words", "n_removed"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidied(run), schema)
 
 
 def brute_force(texts: list[str | None], size: int = WINDOW) -> list[tuple[int, int, str]]:

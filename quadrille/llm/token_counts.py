@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import lean
+from .columns import lean, tidied
 from .pieces import PrefixTable
 from .spm_codec import text_groups
 
@@ -49,4 +49,4 @@ def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, text: str
             arrays = [batch.column(k) for k in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, found)], names=[*rest, *ADDED])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
