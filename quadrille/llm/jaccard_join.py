@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import text as W
 from .columns import lean, tidied
-from .components import checkpointed, components
+from .components import checkpointed, components, release
 
 SIZE, PERCENT = 4, 85
 #: Cells of the count sketch, and the count in one task from which a cell is told of.
@@ -598,6 +598,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = classes.agg(F.sum(_prefix_size(F.col("n"), percent))).first()[0] or 0
     order = cells, BitMap(checkpointed(crowded_tokens(source, cells, size, percent, seed, total)))
     shared = checkpointed(_shared(_postings(source, order, size, percent, seed)))
+    release(docs.sparkSession)
     post = checkpointed(shared.join(_unlike_blocks(shared), "token").join(classes, "class"))
 
     same = _of_one_id(known, classes)
@@ -625,6 +626,8 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if forests == 1:
             again = again.unionAll(crowded.where(F.col("cost") > block).select("token"))
         again = checkpointed(again.distinct())
+        del told, pairs, links, failed, live
+        release(docs.sparkSession)
         if again.isEmpty():
             break
         forests, found = forests * MORE, None

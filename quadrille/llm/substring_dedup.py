@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from . import text as W
 from .columns import lean, tidied
-from .components import checkpointed
+from .components import checkpointed, release
 
 WINDOW, ANCHOR = 35, 8
 #: Words of distinct contents of one anchor that one task takes into an automaton.
@@ -222,6 +222,8 @@ def repeats(source: DataFrame, size: int = WINDOW) -> DataFrame:
     spans = checkpointed(whole.unionAll(small).unionAll(large).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans")))
     near.unpersist()
     contents.unpersist()
+    del segments, anchors, near, mixed, contents, load, loaded, parts, small, windows, twice, large, again, whole
+    release(source.sparkSession)
     return spans
 
 

@@ -171,7 +171,9 @@ def test_join_matches_brute_force(spark, odd):
 
 def test_components_are_done_or_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    assert {x["component"] for x in components.components(chain).collect()} == {0}
+    for few in (0, 1000):
+        assert {x["component"] for x in components.components(chain, few=few).collect()} == {0}
+        assert components.components(chain.limit(0), few=few).count() == 0
     with pytest.raises(RuntimeError):
         components.components(chain, most_steps=1)
 
