@@ -4,11 +4,14 @@ Coarse centroids and codebooks are fitted on at most ``SAMPLE`` vectors, taken i
 order; every vector is indexed. A vector belongs to the list of its nearest centroid and
 holds the codes of its residual, one byte for each sub-space. A query visits its nearest
 lists; how many, the sample tells: as many as hold ``REACH`` of the sample's true
-neighbours. In a list, asymmetric distance tables rank the rows and the best ``RERANK``
+neighbours, by the lists' order, and all that are hardly farther than the nearest one, by
+the same share; queries far from all vectors need the latter. It goes on until the lists
+hold k others. In a list, asymmetric distance tables rank the rows and the best ``RERANK``
 are ranked again by exact Euclidean distance in double precision.
 
-Lists are dealt into blocks of about ``BLOCK`` rows by the hash of their ids, queries into
-blocks of about ``QUERIES``; a task holds one block of each, whatever the size of a list.
+Lists are dealt into blocks of about ``BLOCK`` rows by the hash of their ids, and the queries
+of a list into parts of about ``QUERIES``; a task holds one block and one part, whatever the
+size of a list, and a list is copied only if more than ``QUERIES`` visit it.
 Equal vectors have equal codes and ties go to the smaller id, so copies of one vector do
 not push each other out.
 
@@ -26,12 +29,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, LISTS, CODES, SUB = 16_384, 512, 256, 4
-REACH, RERANK, BLOCK, QUERIES = 0.98, 100, 8192, 4096
+from .components import checkpointed
+
+SAMPLE, LISTS, CODES, SUB = 16_384, 2048, 256, 4
+REACH, RERANK, BLOCK, QUERIES = 0.98, 200, 8192, 16_384
+
+
+#: Share of the sample's neighbours whose list is no farther, beyond the nearest list, than the gap.
+GAP = 0.99
 
 
 @dataclass
@@ -39,6 +47,16 @@ class Index:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # sub-spaces x codes x width
     probes: int
+    gap: float = 0.0
+
+    def visited(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query visits, which hold ``least`` rows if all together do."""
+        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * q @ self.centroids.T, 0))
+        order = np.argsort(d, axis=1, kind="stable")
+        d = np.take_along_axis(d, order, 1)
+        near = (d <= d[:, :1] + self.gap).sum(1)
+        enough = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
+        return [o[:n] for o, n in zip(order, np.maximum(np.maximum(near, enough), self.probes).tolist(), strict=True)]
 
     def lists(self, x: np.ndarray, n: int = 1) -> np.ndarray:
         d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
@@ -105,7 +123,7 @@ def fit(vectors: DataFrame, total: int, k: int = 10) -> Index | None:
     own = index.lists(x)[:, 0]
     asked = rng.permutation(len(x))[:400]
     order = index.lists(x[asked], len(centroids))
-    ranks = []
+    ranks, gaps = [], []
     for i, q in enumerate(asked):
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
@@ -113,7 +131,10 @@ def fit(vectors: DataFrame, total: int, k: int = 10) -> Index | None:
         place = np.empty(len(centroids), np.int64)
         place[order[i]] = np.arange(len(centroids))
         ranks.append(place[own[near]])
+        apart = np.sqrt(((centroids - x[q]) ** 2).sum(1))
+        gaps.append(apart[own[near]] - apart[order[i][0]])
     index.probes = int(np.quantile(np.concatenate(ranks), REACH)) + 1
+    index.gap = float(np.quantile(np.concatenate(gaps), GAP))
     return index
 
 
@@ -161,24 +182,34 @@ def search(table: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_i
                 names=["id", "q", "list", "codes", "v"],
             )
 
-    rows = vectors.mapInArrow(encode, "id long, q boolean, list int, codes binary, v binary").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = checkpointed(vectors.mapInArrow(encode, "id long, q boolean, list int, codes binary, v binary"))
     # One number for each list, of which there are LISTS at most.
-    blocks = {r["list"]: -(-r["count"] // BLOCK) for r in rows.groupBy("list").count().collect()}
-    if not blocks:
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in rows.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    if not sizes.any():
         return empty
-    query_blocks = max(1, -(-counted["q"] // QUERIES))
-    indexed = rows.select("id", "list", "codes", "v", F.pmod(F.xxhash64("id"), F.get(F.array(*(F.lit(int(blocks.get(i, 1))) for i in range(len(index.centroids)))), F.col("list"))).cast("int").alias("block"))
-    indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))) if query_blocks > 1 else indexed.withColumn("part", F.lit(0))
-    counts = np.array([blocks.get(i, 0) for i in range(len(index.centroids))])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            q = np.array([np.frombuffer(v) for v in b["v"]]).reshape(-1, dim)
-            lists = index.lists(q, index.probes)
-            out = [(i, v, int(n), s) for i, v, ls in zip(b["id"], b["v"], lists, strict=True) for n in ls for s in range(counts[n])]
-            yield pd.DataFrame(out, columns=["id", "v", "list", "block"])
-
-    asked = rows.where("q").select("id", "v").mapInPandas(visit, "id long, v binary, list int, block int").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim)
+            lists = index.visited(q, sizes, k + 1)
+            at = pa.array(np.repeat(np.arange(len(q)), list(map(len, lists))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(lists).astype(np.int32) if lists else [], pa.int32())], names=["id", "v", "list"])
+
+    asked = checkpointed(rows.where("q").select("id", "v").mapInArrow(visit, "id long, v binary, list int"))
+    visits = np.zeros(len(sizes), np.int64)
+    for r in asked.groupBy("list").count().collect():
+        visits[r["list"]] = r["count"]
+
+    def of_list(counts: np.ndarray, most: int) -> Column:
+        """How many pieces of ``most`` a row's list is cut into."""
+        return F.get(F.array(*(F.lit(max(1, -(-int(c) // most))) for c in counts)), F.col("list"))
+
+    blocks, parts = of_list(sizes, BLOCK), of_list(visits, QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    indexed = rows.select("id", "list", "codes", "v", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), every(parts).alias("part"))
+    asked = asked.select("id", "v", "list", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int").alias("part"), every(blocks).alias("block"))
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []

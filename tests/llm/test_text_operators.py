@@ -310,6 +310,24 @@ def test_nearest_vectors(spark):
     assert ann.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_queries_far_from_all_vectors(spark):
+    g = np.random.default_rng(2)
+    c = g.normal(size=(20, 16)) * 10
+    x = c[g.integers(0, 20, 3000)] + g.normal(size=(3000, 16)) * 0.05
+    x[::100] = (v := g.normal(size=(30, 16))) / np.linalg.norm(v, axis=1)[:, None] * 200
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(table, F.col("vec_id") % 100 == 0, 10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert len(found[q]) == 10
+        hits += len(set(np.argsort(d)[:10].tolist()) & found[q])
+    assert hits >= 0.9 * 300
+
+
 def test_language_model(spark, odd):
     r = random.Random(8)
     ordered = [" ".join(f"{a} is after {b}" for a, b in [(r.choice("abcd"), r.choice("wxyz")) for _ in range(60)]) for _ in range(120)]
