@@ -4,9 +4,8 @@ Coarse centroids and codebooks are fitted on at most ``SAMPLE`` vectors, taken i
 order; every vector is indexed. A vector belongs to the list of its nearest centroid and
 holds the codes of its residual, one byte for each sub-space. A query visits its nearest
 lists; how many, the sample tells: as many as hold ``REACH`` of the sample's true
-neighbours, by the lists' order, and all that are hardly farther than the nearest one, by
-the same share; queries far from all vectors need the latter. It goes on until the lists
-hold k others. In a list, asymmetric distance tables rank the rows and the best ``RERANK``
+neighbours. It goes on until the lists hold k others; a query for which these are farther
+than usual, as it lies apart from all vectors, visits all lists that are hardly farther. In a list, asymmetric distance tables rank the rows and the best ``RERANK``
 are ranked again by exact Euclidean distance in double precision.
 
 Lists are dealt into blocks of about ``BLOCK`` rows by the hash of their ids, and the queries
@@ -38,7 +37,7 @@ SAMPLE, LISTS, CODES, SUB = 16_384, 2048, 256, 4
 REACH, RERANK, BLOCK, QUERIES = 0.98, 200, 8192, 16_384
 
 
-#: Share of the sample's neighbours whose list is no farther, beyond the nearest list, than the gap.
+#: Share of the sample's neighbours whose list is no farther beyond the nearest one than the gap.
 GAP = 0.99
 
 
@@ -47,6 +46,7 @@ class Index:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # sub-spaces x codes x width
     probes: int
+    far: float = np.inf
     gap: float = 0.0
 
     def visited(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
@@ -54,8 +54,9 @@ class Index:
         d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * q @ self.centroids.T, 0))
         order = np.argsort(d, axis=1, kind="stable")
         d = np.take_along_axis(d, order, 1)
-        near = (d <= d[:, :1] + self.gap).sum(1)
-        enough = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
+        enough = np.minimum((np.cumsum(sizes[order], axis=1) < least).sum(1) + 1, d.shape[1])
+        edge = d[np.arange(len(d)), enough - 1, None]
+        near = np.where(edge[:, 0] > self.far, (d <= edge + self.gap).sum(1), 0)
         return [o[:n] for o, n in zip(order, np.maximum(np.maximum(near, enough), self.probes).tolist(), strict=True)]
 
     def lists(self, x: np.ndarray, n: int = 1) -> np.ndarray:
@@ -135,6 +136,7 @@ def fit(vectors: DataFrame, total: int, k: int = 10) -> Index | None:
         gaps.append(apart[own[near]] - apart[order[i][0]])
     index.probes = int(np.quantile(np.concatenate(ranks), REACH)) + 1
     index.gap = float(np.quantile(np.concatenate(gaps), GAP))
+    index.far = float(np.quantile(np.sqrt(((x - centroids[own]) ** 2).sum(1)), REACH))
     return index
 
 
