@@ -42,7 +42,7 @@ TOKENS = GROUPS * IN_GROUP
 KNOWN = TOKENS - HASHED
 PAD = TOKENS
 PLACES = (-2, -1, 1, 2)
-BATCH, RATE, FAN = 2048, 0.08, 16
+BATCH, RATE, FAN = 4096, 0.08, 16
 
 
 @dataclass
@@ -107,7 +107,7 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
 
 
 def rare_words(texts: DataFrame, words: Vocabulary) -> DataFrame:
-    """(key, hash, n): how often each text (key, text) holds each word that has no number of its own."""
+    """(key, hash) of each place of a text (key, text) with a word that has no number of its own; few of them stand twice in a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,21 +115,17 @@ def rare_words(texts: DataFrame, words: Vocabulary) -> DataFrame:
             for s in W.slices(batch.column(1)):
                 w = W.words(s, lower=True)
                 rare = np.flatnonzero(words.tokens(w.hashes) >= KNOWN)
-                row, h = np.searchsorted(w.bounds, rare, "right") - 1, w.hashes[rare]
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)])
-                n = np.diff(np.r_[first, len(h)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s.first + row[first]]), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "hash", "n"])
+                row = np.searchsorted(w.bounds, rare, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s.first + row]), pa.array(w.hashes[rare].view(np.int64))], names=["key", "hash"])
 
-    return texts.mapInArrow(tidied(run), "key long, hash long, n long")
+    return texts.mapInArrow(tidied(run), "key long, hash long")
 
 
 def rare_logs(texts: DataFrame, words: Vocabulary) -> DataFrame:
     """(key, rare): the mean log count of the rare words of each text (key, text); copies share a key and a mean."""
     found = rare_words(texts, words).join(words.table, "hash", "left")
     log = F.log(F.coalesce(F.col("count"), F.lit(1)).cast("double"))
-    return found.groupBy("key").agg((F.sum(F.col("n") * log) / F.sum("n")).alias("rare"))
+    return found.groupBy("key").agg(F.avg(log).alias("rare"))
 
 
 class Network:
@@ -165,21 +161,23 @@ class Network:
         return np.tanh(h, out=h)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        group, inner = target // IN_GROUP, target % IN_GROUP
+        order = np.argsort(target // IN_GROUP, kind="stable")
+        target = target[order]
+        h = self.hidden(context[order])
+        group, at = target // IN_GROUP, np.arange(len(h))
         logits = h @ self.group + self.group_bias
-        out = logits[np.arange(len(h)), group]
-        out -= _log_sum(logits)
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+        found = logits[at, group]
+        found -= _log_sum(logits)
+        logits = self.word_bias[group]
         first = 0
-        for g, end in enumerate(ends.tolist()):
+        for g, end in enumerate(np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()):
             if end > first:
-                rows = order[first:end]
-                logits = h[rows] @ self.word[g] + self.word_bias[g]
-                own = logits[np.arange(len(rows)), inner[rows]]
-                out[rows] += own - _log_sum(logits)
+                logits[first:end] += h[first:end] @ self.word[g]
             first = end
+        found += logits[at, target % IN_GROUP]
+        found -= _log_sum(logits)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float, seen: np.ndarray) -> None:
@@ -195,17 +193,20 @@ class Network:
         p[np.arange(n), group] -= 1
         grad.group[:], grad.group_bias[:] = h.T @ p, p.sum(0)
         dh = p @ self.group.T
+        # Products by group, everything else on all rows at once.
         ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-        first = 0
-        for g, end in enumerate(ends.tolist()):
-            if end > first:
-                q = h[first:end] @ self.word[g]
-                q += self.word_bias[g]
-                q = _softmax(q)
-                q[np.arange(end - first), inner[first:end]] -= 1
-                grad.word[g], grad.word_bias[g] = h[first:end].T @ q, q.sum(0)
-                dh[first:end] += q @ self.word[g].T
-            first = end
+        used = np.flatnonzero(np.diff(ends, prepend=0))
+        spans = list(zip(used.tolist(), np.r_[0, ends[used][:-1]].tolist(), ends[used].tolist(), strict=True))
+        q = np.empty((n, IN_GROUP), h.dtype)
+        for g, first, end in spans:
+            np.matmul(h[first:end], self.word[g], out=q[first:end])
+        q += self.word_bias[group]
+        _softmax(q)
+        q[np.arange(n), inner] -= 1
+        grad.word_bias[used] = np.add.reduceat(q, [first for _, first, _ in spans], axis=0)
+        for g, first, end in spans:
+            np.matmul(h[first:end].T, q[first:end], out=grad.word[g])
+            dh[first:end] += q[first:end] @ self.word[g].T
         dh *= 1 - h * h
         for k in range(len(PLACES)):
             grad.place[k] = np.einsum("ij,ij->j", dh, self.embed[context[:, k]])
@@ -304,8 +305,8 @@ def score(docs: DataFrame, words: Vocabulary, parameters: np.ndarray, keep: Sequ
                 w = W.words(s, lower=True)
                 tokens, rows = words.tokens(w.hashes), len(w.bounds) - 1
                 logs = np.zeros(len(tokens))
-                for i in range(0, len(tokens), 32_768):
-                    some = np.arange(i, min(i + 32_768, len(tokens)))
+                for i in range(0, len(tokens), 8192):
+                    some = np.arange(i, min(i + 8192, len(tokens)))
                     logs[some] = net.log_probabilities(contexts(tokens, w.bounds, some), tokens[some])
                 row = np.repeat(np.arange(rows), np.diff(w.bounds))
                 n[s.first : s.first + rows] = np.diff(w.bounds)

@@ -366,6 +366,29 @@ def test_each_word_has_its_own_probability(spark):
     assert len(full) == 10 and len({x["log_prob"] for x in full if x["doc_id"] >= 8}) == 1
 
 
+def test_scores_are_sums_of_conditional_log_probabilities(spark):
+    """Word by word from the parameters, with no code of the operator but the counts."""
+    r = random.Random(4)
+    rows = [" ".join(r.choice(["a", "b", "cc", "D", "e", f"x{r.randint(0, 9)}"]) for _ in range(r.randint(0, 60))) for _ in range(30)] + [None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    words = lm_score.vocabulary(docs.select("text"))
+    net = lm_score.Network(lm_score.train(docs.select("text"), words))
+    got = {x["doc_id"]: x for x in lm_score.score(docs, words, net.flat).collect()}
+    for i, t in enumerate(rows):
+        (s,) = text.slices(pa.array([t]))
+        tokens = words.tokens(text.words(s, lower=True).hashes).tolist()
+        total = 0.0
+        for at, token in enumerate(tokens):
+            h = np.zeros(lm_score.DIM)
+            for k, d in enumerate((-2, -1, 1, 2)):
+                near = tokens[at + d] if 0 <= at + d < len(tokens) else lm_score.PAD
+                h += net.embed[near].astype(float) * net.place[k]
+            h, group = np.tanh(h), token // lm_score.IN_GROUP
+            for logits, own in ((h @ net.group + net.group_bias, group), (h @ net.word[group] + net.word_bias[group], token % lm_score.IN_GROUP)):
+                total += logits[own] - np.log(np.exp(logits).sum())
+        assert got[i]["n_tokens"] == len((t or "").split()) and got[i]["log_prob"] == pytest.approx(total, abs=1e-2)
+
+
 def test_every_token_trains(spark):
     # A short text of words of its own: the parameters of each of its words change.
     rows = [f"a{i} b{i} c{i}" for i in range(30)]
