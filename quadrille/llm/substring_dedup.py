@@ -212,9 +212,9 @@ def repeats(source: DataFrame, size: int = WINDOW) -> DataFrame:
     contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in place)).persist(StorageLevel.MEMORY_AND_DISK)
     load = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + (size - 1)).alias("value"))
     loaded = _looked_up(contents, load, "anchor").withColumnRenamed("value", "words")
-    parts = _with_words(loaded.where(F.col("words") <= SHARD_WORDS), source, size)
+    parts = _with_words(loaded, source, size, False)
     small = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard_kernel(size), SPAN)
-    windows = _with_words(loaded.where(F.col("words") > SHARD_WORDS), source, size, _window_kernel(size), SPAN + ", h1 long, h2 long")
+    windows = _with_words(loaded, source, size, True, _window_kernel(size), SPAN + ", h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     large = windows.join(twice, ["h1", "h2"], "left_semi").select(place)
     again = contents.where("n > 1").select("anchor", "content", "n", F.lit(True).alias("value"))
@@ -231,24 +231,25 @@ def _looked_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
     """The rows whose keys are in a table (keys, n, value), with the value; n tells how many rows a key has.
 
     Keys with more than one in ``HOT`` of all rows, of which there are fewer than ``HOT``, are
-    broadcast; the rows of the others are shuffled, each key to its task, and the rows of
-    the hot keys are dealt out evenly.
+    broadcast and their rows stay where they are; the rows of the others are shuffled.
     """
     total = table.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(table.where(F.col("n") * HOT > total).select(*keys, F.col("value").alias("hot")))
-    cold = table.where(F.col("n") * HOT <= total).select(F.col(keys[0]).alias("key"), *keys[1:], "value")
-    key = F.when(F.col("hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64("doc", "text_hash", "start"))
-    out = rows.join(hot, list(keys), "left").withColumn("key", key)
-    out = out.join(cold, ["key", *keys[1:]], "left").withColumn("value", F.coalesce("hot", "value"))
-    return out.where("value is not null").drop("hot", "key")
+    hot = F.broadcast(table.where(F.col("n") * HOT > total).select(*keys, "value"))
+    cold = table.where(F.col("n") * HOT <= total).select(*keys, "value")
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(cold, list(keys))
+    return rows.join(hot, list(keys)).unionByName(rest)
 
 
 WORDS_OF_SEGMENT = "anchor long, n long, doc long, text_hash long, start int, windows int, hashes binary"
 
 
-def _with_words(left: DataFrame, source: DataFrame, size: int, then=None, schema: str = WORDS_OF_SEGMENT) -> DataFrame:
-    """Brings each segment the hashes of its words, 6 bytes each, from the document that holds it; ``then`` maps its batches in the same task."""
-    listed = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "n", "start", "windows")).alias("segments"))
+def _with_words(left: DataFrame, source: DataFrame, size: int, large: bool, then=None, schema: str = WORDS_OF_SEGMENT) -> DataFrame:
+    """Brings the segments of small or of large anchors the hashes of their words, 6 bytes each, from the document that holds them.
+
+    ``then`` maps the batches in the same task. The sizes are told apart there, so that both
+    calls use one shuffle.
+    """
+    listed = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "words", "n", "start", "windows")).alias("segments"))
     both = source.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc", "d.text_hash", "d.text", "l.segments", "d.row")
     names = ["anchor", "n", "doc", "text_hash", "start", "windows", "hashes"]
     kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
@@ -263,7 +264,8 @@ def _with_words(left: DataFrame, source: DataFrame, size: int, then=None, schema
                     h = np.ascontiguousarray(w.hashes[w.bounds[i] : w.bounds[i + 1], None].view(np.uint8)[:, :6])
                     doc, mark = ids[s.first + i].as_py(), marks[s.first + i].as_py()
                     for x in lists[s.first + i].as_py():
-                        rows.append((x["anchor"], x["n"], doc, mark, x["start"], x["windows"], h[x["start"] : x["start"] + x["windows"] + size - 1].tobytes()))
+                        if (x["words"] > SHARD_WORDS) == large:
+                            rows.append((x["anchor"], x["n"], doc, mark, x["start"], x["windows"], h[x["start"] : x["start"] + x["windows"] + size - 1].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
