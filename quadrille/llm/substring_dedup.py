@@ -42,13 +42,10 @@ from pyspark.sql import types as T
 
 from . import text as W
 from .columns import lean, tidied
-from .components import checkpointed, release
 
 WINDOW, ANCHOR = 35, 8
 #: Words of distinct contents of one anchor that one task takes into an automaton.
 SHARD_WORDS = 50_000
-#: A key with more than one in so many rows is hot.
-HOT = 1000
 
 
 class SuffixAutomaton:
@@ -204,40 +201,22 @@ def repeats(source: DataFrame, size: int = WINDOW) -> DataFrame:
     segments = _segments(source.select("doc", "text_hash", "text"), size)
     # An anchor has several contents if the smallest and largest content hash differ.
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-    anchors = checkpointed(anchors.where("n > 1").select("anchor", "n", (F.col("lo") != F.col("hi")).alias("value")))
-    near = _looked_up(segments, anchors, "anchor").withColumnRenamed("value", "mixed").persist(StorageLevel.MEMORY_AND_DISK)
+    anchors = anchors.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Kept until the session drops it, as the result is lazy: one query shares the shuffles of texts.
+    near = segments.join(anchors, "anchor").persist(StorageLevel.MEMORY_AND_DISK)
     place = ["doc", "text_hash", "start", "windows"]
     mixed = near.where("mixed")
     # The anchor is part of the content, so the two hashes together identify it by 128 bits.
     contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in place)).persist(StorageLevel.MEMORY_AND_DISK)
-    load = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("windows") + (size - 1)).alias("value"))
-    loaded = _looked_up(contents, load, "anchor").withColumnRenamed("value", "words")
+    load = contents.groupBy("anchor").agg(F.sum(F.col("windows") + (size - 1)).alias("words"))
+    loaded = contents.join(load, "anchor")
     parts = _with_words(loaded, source, size, False)
     small = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard_kernel(size), SPAN)
     windows = _with_words(loaded, source, size, True, _window_kernel(size), SPAN + ", h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     large = windows.join(twice, ["h1", "h2"], "left_semi").select(place)
-    again = contents.where("n > 1").select("anchor", "content", "n", F.lit(True).alias("value"))
-    whole = near.where("not mixed").select(place).unionAll(_looked_up(mixed, again, "anchor", "content").select(place))
-    spans = checkpointed(whole.unionAll(small).unionAll(large).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans")))
-    near.unpersist()
-    contents.unpersist()
-    del segments, anchors, near, mixed, contents, load, loaded, parts, small, windows, twice, large, again, whole
-    release(source.sparkSession)
-    return spans
-
-
-def _looked_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose keys are in a table (keys, n, value), with the value; n tells how many rows a key has.
-
-    Keys with more than one in ``HOT`` of all rows, of which there are fewer than ``HOT``, are
-    broadcast and their rows stay where they are; the rows of the others are shuffled.
-    """
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(table.where(F.col("n") * HOT > total).select(*keys, "value"))
-    cold = table.where(F.col("n") * HOT <= total).select(*keys, "value")
-    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(cold, list(keys))
-    return rows.join(hot, list(keys)).unionByName(rest)
+    whole = near.where("not mixed").select(place).unionAll(mixed.join(contents.where("n > 1"), ["anchor", "content"], "left_semi").select(place))
+    return whole.unionAll(small).unionAll(large).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 WORDS_OF_SEGMENT = "anchor long, n long, doc long, text_hash long, start int, windows int, hashes binary"
