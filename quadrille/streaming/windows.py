@@ -14,8 +14,8 @@ def intersecting(stream: DataFrame, shape: S.Shape) -> DataFrame:
     return select.intersecting(stream, shape)
 
 
-def join_static(stream: DataFrame, table: DataFrame, g: float, levels: int = 1) -> DataFrame:
-    """Pairs of a stream's boxes with a still table's; g is given, since a stream has no extents."""
+def join_static(stream: DataFrame, table: DataFrame, g: float, levels: int = 4) -> DataFrame:
+    """Pairs of a stream's boxes with a still table's; g is given, since a stream has no extents. Large boxes go to coarser levels."""
     return join.grid_join(stream, table, g=g, levels=levels)
 
 
