@@ -8,7 +8,8 @@ each distinct chunk is segmented once and the results are joined by position. Wh
 Prefix counts: the encoding of a text cut at the end of one of its pieces is the start of
 the text's encoding, and a row of pieces is the encoding of its text exactly if each two
 neighbours are. So count and last piece of each prefix follow from those of shorter
-ones; ``PrefixTable`` works them out for any prefix without encoding the text again.
+ones; ``PrefixTable`` works them out once for every prefix of each distinct chunk, and those of
+a text are the ones of its chunks, added up.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import sentencepiece
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Distinct chunks and prefixes that a task keeps; a full table is emptied.
-MOST_CHUNKS, MOST_PREFIXES, MOST_PAIRS = 200_000, 100_000, 300_000
+#: Distinct chunks, prefixes and pairs of pieces that a task keeps; a full table is emptied.
+MOST_CHUNKS, MOST_PREFIXES, MOST_PAIRS = 200_000, 4_000_000, 300_000
 
 
 def load(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -141,9 +142,12 @@ class PrefixTable:
         for p in self.score:
             self.ends.setdefault(p[-1], []).append(len(p))
         self.ends = {c: sorted(set(x)) for c, x in self.ends.items()}
-        self.at: dict[str, list[int]] = {}  # of short chunks
         self.pair: dict[tuple[str, str], bool] = {}
-        self.row, self.total = _Numbered(), np.zeros(1024, np.int64)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.row = _Numbered()
+        self.starts, self.lens, self.counts, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
 
     def _merge(self, text: str) -> list[str]:
         """The pieces of a short text: merge the neighbours that make the best piece, first ones first."""
@@ -161,11 +165,9 @@ class PrefixTable:
 
     def _fits(self, last: str, piece: str) -> bool:
         key = (last, piece)
-        known = self.pair.get(key)
-        if known is None:
-            if len(self.pair) > MOST_PAIRS:
-                self.pair.clear()
-            known = self.pair[key] = self._merge(last + piece) == ([last, piece] if last else [piece])
+        if len(self.pair) > MOST_PAIRS:
+            self.pair.clear()
+        known = self.pair[key] = self._merge(last + piece) == ([last, piece] if last else [piece])
         return known
 
     def prefixes(self, chunk: str) -> list[int]:
@@ -173,71 +175,60 @@ class PrefixTable:
 
         A character that no piece holds is written in bytes, one token each.
         """
-        local = self.at.get(chunk)
-        if local is not None:
-            return local
-        states = [(0, "")]
-        for i in range(1, len(chunk) + 1):
-            c = chunk[i - 1]
-            for size in self.ends.get(c, ()):
-                if size > i:
-                    continue
-                piece = chunk[i - size : i]
-                if piece in self.score and self._fits(states[i - size][1], piece):
-                    states.append((states[i - size][0] + 1, piece))
-                    break
+        total, last = [0], [""]
+        score, pair, ends = self.score, self.pair, self.ends
+        for i, c in enumerate(chunk, 1):
+            for size in ends.get(c, ()):
+                piece = chunk[i - size : i] if size <= i else None
+                if piece in score:
+                    before = last[i - size]
+                    fits = pair.get((before, piece))
+                    if self._fits(before, piece) if fits is None else fits:
+                        total.append(total[i - size] + 1)
+                        last.append(piece)
+                        break
             else:
-                states.append((states[-1][0] + len(c.encode()), c))
-        local = [x[0] for x in states[1:]]
-        if len(chunk) <= 64:
-            if len(self.at) > MOST_PREFIXES:
-                self.at.clear()
-            self.at[chunk] = local
-        return local
-
-    def at_chunks(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
-        """Of each text the chunks, and the token count of the prefix that ends with each.
-
-        The count of a whole chunk comes from the library, once per distinct chunk; counts of
-        prefixes that end inside a chunk are worked out by ``prefixes`` when asked for.
-        """
+                total.append(total[-1] + len(c.encode()))
+                last.append(c)
+        return total[1:]
+
+    def _store(self, new: list[str]) -> None:
+        """Prefix counts of new chunks, from their marker on, one after the other."""
+        found = [self.prefixes(MARK + c) for c in new]
+        for i, (c, ids) in enumerate(zip(new, segment(self.model, new), strict=True)):
+            if found[i][-1] != len(ids):  # the exact check; not seen to differ
+                found[i] = [len(x) for x in segment(self.model, [c[:k] for k in range(len(c) + 1)])]
+        n, lens = len(self.row) - len(new), np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))
+        if n + len(new) > len(self.lens):
+            size = max(2 * len(self.lens), n + len(new))
+            self.lens, self.starts = np.resize(self.lens, size), np.resize(self.starts, size)
+        if self.used + len(flat) > len(self.counts):
+            self.counts = np.resize(self.counts, max(2 * len(self.counts), self.used + len(flat)))
+        self.lens[n : n + len(new)] = lens
+        self.starts[n : n + len(new)] = self.used + np.cumsum(lens) - lens
+        self.counts[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def at_chars(self, texts: list[str]) -> list[np.ndarray]:
+        """Token count of every prefix of each text: entry i is that of text[:i]."""
         if self.whole:
-            return [([t], np.array([len(x)], np.int64)) for t, x in zip(texts, self.model.encode(texts, num_threads=1), strict=True)]
-        if len(self.row) > MOST_CHUNKS:
-            self.row, self.total = _Numbered(), np.zeros(1024, np.int64)
-        parts = [chunks(t) for t in texts]
+            return [np.array([len(self.model.encode(t[:i])) for i in range(len(t) + 1)], np.int32) for t in texts]
+        if len(self.row) > MOST_CHUNKS or self.used > MOST_PREFIXES:
+            self._empty()
         row = self.row.__getitem__
-        at = [np.fromiter(map(row, p), np.int64, len(p)) for p in parts]
+        at = [np.fromiter(map(row, p), np.int64, len(p)) for p in map(chunks, texts)]
         if new := self.row.taken():
-            if len(self.row) > len(self.total):
-                self.total = np.resize(self.total, 2 * len(self.row))
-            self.total[len(self.row) - len(new) : len(self.row)] = list(map(len, segment(self.model, new)))
-        return [(p, np.cumsum(self.total[x])) for p, x in zip(parts, at, strict=True)]
-
-    def at_chars(self, text: str) -> np.ndarray:
-        """Token count of every prefix of the text: entry i is that of text[:i]."""
-        if self.whole:
-            return np.array([len(self.model.encode(text[:i])) for i in range(len(text) + 1)], np.int64)
-        out, base = [], 0
-        for c in chunks(text):
-            inner = self.prefixes(MARK + c)
-            out += [base + x for x in inner]
-            base += inner[-1]
-        # The dummy prefix stands before the first character, and counts once there is one.
-        return np.array([0, *out[1:]] if text else [0], np.int64)
-
-    def cut(self, parts: list[str], counts: np.ndarray, budget: int) -> int:
-        """Characters of the longest prefix of the text with at most ``budget`` tokens."""
-        lengths = np.cumsum([len(p) + 1 for p in parts]) - 1  # without the dummy prefix
-        best = 0
-        for j in range(len(parts) - 1, -1, -1):
-            before, start = (int(counts[j - 1]), int(lengths[j - 1])) if j else (0, -1)
-            if counts[j] <= budget:
-                return max(best, int(lengths[j]))
-            # A prefix of a chunk can need more tokens than the chunk, or fewer.
-            if before + 1 <= budget:
-                inner = self.prefixes(MARK + parts[j])
-                fits = [i for i, x in enumerate(inner, 1) if before + x <= budget and start + i > 0]
-                if fits:
-                    return max(best, start + fits[-1])
-        return best
+            self._store(new)
+        out = []
+        for x in at:
+            lens, starts = self.lens[x], self.starts[x]
+            ends, totals = np.cumsum(lens), self.counts[starts + lens - 1]
+            if len(x):
+                counts = self.counts[np.arange(ends[-1]) + np.repeat(starts - (ends - lens), lens)]
+                counts += np.repeat((np.cumsum(totals) - totals).astype(np.int32), lens)
+                counts[0] = 0  # the dummy prefix counts once a character follows
+            else:
+                counts = np.zeros(1, np.int32)
+            out.append(counts)
+        return out

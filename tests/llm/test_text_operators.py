@@ -55,15 +55,21 @@ def test_prefix_counts(spark, odd):
     for _ in range(300):
         t = "".join(r.choice(" ▁\n\tabcdeingth éñ漢\x00😀<s></s>") for _ in range(r.randint(1, 40)))
         counts = [len(model.encode(t[:i])) for i in range(len(t) + 1)]
-        assert table.at_chars(t).tolist() == counts
-        ((parts, ends),) = table.at_chunks([t])
+        (got,) = table.at_chars([t])
+        assert got.tolist() == counts
         budget = r.randint(0, 25)
-        assert table.cut(parts, ends, budget) == max(i for i, c in enumerate(counts) if c <= budget)
+        assert token_counts._within(got, budget) == max(i for i, c in enumerate(counts) if c <= budget)
     for row in token_counts.token_counts(odd, MODEL, budget=10).collect():
         t = row["text"] or ""
         assert (row["n_bytes"], row["n_tokens"]) == (len(t.encode()), len(model.encode(t)))
         assert len(model.encode(t[: row["cut_chars"]])) <= 10
     assert token_counts.token_counts(odd.limit(0), MODEL).count() == 0
+    kept = token_counts.token_counts(odd.where("length(text) < 100 or text is null"), MODEL, keep_prefixes=True)
+    for row in kept.select("text", "prefix_tokens", token_counts.tokens_of(3).alias("of_3"), token_counts.chars_within(2).alias("in_2")).collect():
+        t = row["text"] or ""
+        counts = [len(model.encode(t[:i])) for i in range(len(t) + 1)]
+        assert row["prefix_tokens"] == counts and row["of_3"] == (counts[3] if len(t) >= 3 else None)
+        assert row["in_2"] == max(i for i, c in enumerate(counts) if c <= 2)
 
 
 def test_toxicity(spark, odd):
