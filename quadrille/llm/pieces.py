@@ -21,8 +21,8 @@ import sentencepiece
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Distinct chunks, prefixes and pairs of pieces that a task keeps; a full table is emptied.
-MOST_CHUNKS, MOST_PREFIXES, MOST_PAIRS = 200_000, 4_000_000, 300_000
+#: Distinct chunks, prefixes of chunks, and pairs of pieces that a task keeps; a full table is emptied.
+MOST_CHUNKS, MOST_PREFIXES, MOST_PAIRS = 200_000, 8_000_000, 300_000
 
 
 def load(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -142,7 +142,9 @@ class PrefixTable:
         for p in self.score:
             self.ends.setdefault(p[-1], []).append(len(p))
         self.ends = {c: sorted(set(x)) for c, x in self.ends.items()}
-        self.pair: dict[tuple[str, str], bool] = {}
+        #: By piece: pieces before it that have been tried, and whether the two stay as they are.
+        self.after: dict[str, dict[str, bool]] = {p: {} for p in self.score}
+        self.pairs = 0
         self._empty()
 
     def _empty(self) -> None:
@@ -164,25 +166,29 @@ class PrefixTable:
         return parts
 
     def _fits(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        if len(self.pair) > MOST_PAIRS:
-            self.pair.clear()
-        known = self.pair[key] = self._merge(last + piece) == ([last, piece] if last else [piece])
-        return known
-
-    def prefixes(self, chunk: str) -> list[int]:
-        """Counts of the prefixes of a chunk, of one character and more.
+        """Whether the two are the pieces of their joined text."""
+        self.pairs += 1
+        if self.pairs > MOST_PAIRS:
+            self.pairs = 0
+            for known in self.after.values():
+                known.clear()
+        fits = self.after[piece][last] = self._merge(last + piece) == ([last, piece] if last else [piece])
+        return fits
+
+    def _extend(self, chunk: str, total: list[int], last: list[str]) -> None:
+        """Adds count and last piece of each prefix of a chunk to those of its shorter prefixes.
 
         A character that no piece holds is written in bytes, one token each.
         """
-        total, last = [0], [""]
-        score, pair, ends = self.score, self.pair, self.ends
-        for i, c in enumerate(chunk, 1):
+        after, ends = self.after, self.ends
+        for i in range(len(total), len(chunk) + 1):
+            c = chunk[i - 1]
             for size in ends.get(c, ()):
-                piece = chunk[i - size : i] if size <= i else None
-                if piece in score:
+                piece = chunk[i - size : i] if size <= i else ""
+                known = after.get(piece)
+                if known is not None:
                     before = last[i - size]
-                    fits = pair.get((before, piece))
+                    fits = known.get(before)
                     if self._fits(before, piece) if fits is None else fits:
                         total.append(total[i - size] + 1)
                         last.append(piece)
@@ -190,11 +196,27 @@ class PrefixTable:
             else:
                 total.append(total[-1] + len(c.encode()))
                 last.append(c)
-        return total[1:]
+
+    def prefixes(self, chunks: list[str]) -> list[list[int]]:
+        """Of each chunk the counts of its prefixes of one character and more.
+
+        In alphabetical order a chunk starts where its common part with the one before ends.
+        """
+        found: list[list[int]] = [[]] * len(chunks)
+        total, last, before = [0], [""], ""
+        for n in sorted(range(len(chunks)), key=chunks.__getitem__):
+            chunk = chunks[n]
+            same, most = 0, min(len(chunk), len(before))
+            while same < most and chunk[same] == before[same]:
+                same += 1
+            del total[same + 1 :], last[same + 1 :]
+            self._extend(chunk, total, last)
+            found[n], before = total[1:], chunk
+        return found
 
     def _store(self, new: list[str]) -> None:
         """Prefix counts of new chunks, from their marker on, one after the other."""
-        found = [self.prefixes(MARK + c) for c in new]
+        found = self.prefixes([MARK + c for c in new])
         for i, (c, ids) in enumerate(zip(new, segment(self.model, new), strict=True)):
             if found[i][-1] != len(ids):  # the exact check; not seen to differ
                 found[i] = [len(x) for x in segment(self.model, [c[:k] for k in range(len(c) + 1)])]
@@ -214,7 +236,7 @@ class PrefixTable:
         """Token count of every prefix of each text: entry i is that of text[:i]."""
         if self.whole:
             return [np.array([len(self.model.encode(t[:i])) for i in range(len(t) + 1)], np.int32) for t in texts]
-        if len(self.row) > MOST_CHUNKS or self.used > MOST_PREFIXES:
+        if self.used > MOST_PREFIXES:
             self._empty()
         row = self.row.__getitem__
         at = [np.fromiter(map(row, p), np.int64, len(p)) for p in map(chunks, texts)]
