@@ -1,4 +1,4 @@
-"""Box joins as equi-joins on grid cells or tiles.
+"""Box joins as equi-joins on grid cells, cut further where they are full.
 
 Each box is put in the cells it covers; boxes are joined within a cell and the exact
 predicate decides. A pair is kept only in the cell that holds the lower left corner of the
@@ -24,6 +24,8 @@ from ..functions import shapes as S
 SIDES = ("xlo", "ylo", "xhi", "yhi")
 #: Cells that a box covers on its level, at most, and the ratio of cell sides of two levels.
 MOST_CELLS, STEP = 64, 8.0
+#: Rows that a cell should hold, and how many times a full one is halved at most.
+ROWS_PER_CELL, MOST_SPLITS = 16.0, 20
 Predicate = Callable[[S.Region, S.Region], Column]
 
 
@@ -48,7 +50,7 @@ def extents(*tables: DataFrame) -> Extents:
     return Extents(r["n"], r["mean"] or 0.0, r["most"] or 0.0, r["width"] or 0.0)
 
 
-def cell_side(e: Extents, rows_per_cell: float = 16.0) -> float:
+def cell_side(e: Extents, rows_per_cell: float = ROWS_PER_CELL) -> float:
     """A cell holds some rows and is no smaller than a usual box."""
     by_rows = e.width * math.sqrt(rows_per_cell / max(e.rows, 1))
     return max(by_rows, e.mean, e.width * 1e-6) or 1.0
@@ -83,16 +85,14 @@ def left() -> S.Region:
     return S.Region(*(F.col(c) for c in SIDES))
 
 
-def grid_join(r: DataFrame, s: DataFrame, g: float | None = None, predicate: Predicate | None = None, levels: int | None = None) -> DataFrame:
+def grid_join(r: DataFrame, s: DataFrame, g: float | None = None, predicate: Predicate | None = None, levels: int | None = None, split: bool = False) -> DataFrame:
     """Pairs whose boxes intersect and fulfil a predicate (which must imply that they do).
 
-    Without g, or without levels, one aggregation over both sides chooses them.
+    Without g, or without levels, one aggregation over both sides chooses them. With split,
+    full cells of the finest level are cut further.
     """
     if g is None or levels is None:
-        e = extents(r, s)
-        g = g or cell_side(e)
-        reach = math.sqrt(MOST_CELLS) - 1
-        levels = levels or 1 + max(0, math.ceil(math.log(max(e.largest / (g * reach), 1.0), STEP)))
+        g, levels = _chosen(extents(r, s), g, levels)
     out = None
     if levels > 1:
         r, s = (t.withColumn("__level", _level(g, levels)) for t in (r, s))
@@ -104,19 +104,42 @@ def grid_join(r: DataFrame, s: DataFrame, g: float | None = None, predicate: Pre
             if k:
                 lanes.append((r.where(F.col("__level") < k), s.where(F.col("__level") == k)))
         for a, b in lanes:
-            pairs = _one_level(a.drop("__level"), b.drop("__level"), g * STEP**k, predicate)
+            full = full_cells(g, a, b) if split and k == 0 else None
+            pairs = _one_level(a.drop("__level"), b.drop("__level"), g * STEP**k, predicate, full)
             out = pairs if out is None else out.unionAll(pairs)
     return out
 
 
-def _one_level(r: DataFrame, s: DataFrame, g: float, predicate: Predicate | None) -> DataFrame:
-    a, b = _cells(r, g), _cells(_renamed(s).select("*", *(F.col(f"{c}_r").alias(c) for c in SIDES)), g).drop(*SIDES)
+def _chosen(e: Extents, g: float | None = None, levels: int | None = None) -> tuple[float, int]:
+    g = g or cell_side(e)
+    reach = math.sqrt(MOST_CELLS) - 1
+    return g, levels or 1 + max(0, math.ceil(math.log(max(e.largest / (g * reach), 1.0), STEP)))
+
+
+def _one_level(r: DataFrame, s: DataFrame, g: float, predicate: Predicate | None, full: DataFrame | None = None) -> DataFrame:
+    a, b = _cells(r, g), _cells(_renamed(s).select("*", *(F.col(f"{c}_r").alias(c) for c in SIDES)), g)
+    cell, keys = (F.col("__cx"), F.col("__cy")), ["__cx", "__cy"]
+    if full is not None:
+        a, b = (_parts(t, full, g) for t in (a, b))
+        keys += ["__px", "__py"]
+    b = b.drop(*SIDES, "__parts")
     x, y = left(), right()
-    owner = (F.col("__cx") == F.floor(F.greatest(x.xlo, y.xlo) / g)) & (F.col("__cy") == F.floor(F.greatest(x.ylo, y.ylo) / g))
-    out = a.join(b, ["__cx", "__cy"]).where(S.intersects(x, y) & owner)
+    corner = F.greatest(x.xlo, y.xlo), F.greatest(x.ylo, y.ylo)
+    owner = (cell[0] == F.floor(corner[0] / g)) & (cell[1] == F.floor(corner[1] / g))
+    if full is not None:
+        owner = owner & (F.col("__px") == _part(corner[0], cell[0], g)) & (F.col("__py") == _part(corner[1], cell[1], g))
+    out = a.join(b, keys).where(S.intersects(x, y) & owner)
     if predicate:
         out = out.where(predicate(x, y))
-    return out.drop("__cx", "__cy")
+    return out.drop(*keys, "__parts")
+
+
+def _parts(t: DataFrame, full: DataFrame, g: float) -> DataFrame:
+    """Rows in cells, copied into the parts of full cells that they cover."""
+    t = t.join(full, ["__cx", "__cy"], "left").withColumn("__parts", F.coalesce("__parts", F.lit(1.0)))
+    for name, low, high, cell in (("__px", "xlo", "xhi", "__cx"), ("__py", "ylo", "yhi", "__cy")):
+        t = t.withColumn(name, F.explode(F.sequence(*(_part(F.col(v), F.col(cell), g) for v in (low, high)))))
+    return t
 
 
 def naive_join(r: DataFrame, s: DataFrame, predicate: Predicate | None = None) -> DataFrame:
@@ -125,59 +148,48 @@ def naive_join(r: DataFrame, s: DataFrame, predicate: Predicate | None = None) -
     return r.join(_renamed(s), hit & predicate(left(), right()) if predicate else hit)
 
 
-def tile_cuts(*tables: DataFrame, slabs: int = 8, sample: float = 0.05) -> tuple[list[float], list[list[float]]]:
-    """Borders of x slabs and, in each, of y tiles, that hold about equally many centers of a sample."""
-    every = tables[0].select(*SIDES)
-    for t in tables[1:]:
-        every = every.unionAll(t.select(*SIDES))
-    if sample < 1:
-        every = every.sample(sample, seed=11)
-    at = every.select(((F.col("xlo") + F.col("xhi")) / 2).alias("x"), ((F.col("ylo") + F.col("yhi")) / 2).alias("y"))
-    shares = F.array(*(F.lit(i / slabs) for i in range(1, slabs)))
-    x = sorted(set(at.agg(F.percentile_approx("x", shares)).first()[0] or []))
-    slab = _place(F.col("x"), x)
-    rows = at.groupBy(slab.alias("slab")).agg(F.percentile_approx("y", shares).alias("y")).collect()
-    by = {row["slab"]: sorted(set(row["y"] or [])) for row in rows}
-    return x, [by.get(i, []) for i in range(len(x) + 1)]
-
-
-def _place(v: Column, cuts: list[float]) -> Column:
-    """Number of borders at or below a value: half-open tiles."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= v))
-
-
-def tile_join(r: DataFrame, s: DataFrame, cuts: tuple[list[float], list[list[float]]] | None = None, predicate: Predicate | None = None) -> DataFrame:
-    """As grid_join, on tiles that follow the density of the data: for strongly skewed places."""
-    x, ys = cuts or tile_cuts(r, s)
-    borders = F.array(*(F.array(*map(F.lit, y)).cast("array<double>") for y in ys))
-
-    def tile(slab: Column, v: Column) -> Column:
-        return F.size(F.filter(F.get(borders, slab), lambda c: c <= v))
-
-    def covered(t: DataFrame, names: list[str], own: str) -> DataFrame:
-        """With the tiles a box covers and, of those, the first: a pair belongs to the later of two firsts."""
-        xlo, ylo, xhi, yhi = map(F.col, names)
-        t = t.withColumn(f"__x{own}", _place(xlo, x)).withColumn("__cx", F.explode(F.sequence(F.col(f"__x{own}"), _place(xhi, x))))
-        return t.withColumn(f"__y{own}", tile(F.col("__cx"), ylo)).withColumn("__cy", F.explode(F.sequence(F.col(f"__y{own}"), tile(F.col("__cx"), yhi))))
-
-    a, b = covered(r, list(SIDES), "a"), covered(_renamed(s), [f"{c}_r" for c in SIDES], "b")
-    p, q = left(), right()
-    owner = (F.col("__cx") == F.greatest("__xa", "__xb")) & (F.col("__cy") == F.greatest("__ya", "__yb"))
-    out = a.join(b, ["__cx", "__cy"]).where(S.intersects(p, q) & owner)
-    if predicate:
-        out = out.where(predicate(p, q))
-    return out.drop("__cx", "__cy", "__xa", "__xb", "__ya", "__yb")
+def full_cells(g: float, *tables: DataFrame) -> DataFrame:
+    """(__cx, __cy, __parts) of the cells with far more rows than a cell should hold, and parts along each side.
+
+    The place that the rows take up comes from the spread of their centers, 12 times the
+    product of the deviations as for an even spread. Parts are no smaller than the quadratic
+    mean of the sides there, so a box covers about four of them in the mean.
+    """
+    every = None
+    for t in tables:
+        x, y = ((F.col(lo) + F.col(hi)) / 2 for lo, hi in (("xlo", "xhi"), ("ylo", "yhi")))
+        side = F.greatest(F.col("xhi") - F.col("xlo"), F.col("yhi") - F.col("ylo"))
+        t = t.select(F.floor(x / g).alias("__cx"), F.floor(y / g).alias("__cy"), x.alias("x"), y.alias("y"), (side * side).alias("square"))
+        every = t if every is None else every.unionAll(t)
+    cells = every.groupBy("__cx", "__cy").agg(F.count("*").alias("rows"), F.sqrt(F.avg("square")).alias("side"), F.stddev_pop("x").alias("dx"), F.stddev_pop("y").alias("dy"))
+    side = F.greatest("side", F.lit(g * 0.5**MOST_SPLITS))
+    place = 12 * F.greatest("dx", side) * F.greatest("dy", side)
+    halved = F.greatest(F.least(F.ceil(F.log2(F.col("rows") / ROWS_PER_CELL * g * g / place) / 2), F.floor(F.log2(g / side))), F.lit(0))
+    full = cells.where(F.col("rows") > 4 * ROWS_PER_CELL).select("__cx", "__cy", F.pow(F.lit(2.0), halved).alias("__parts"))
+    return full.where(F.col("__parts") > 1)
+
+
+def _part(v: Column, cell: Column, g: float) -> Column:
+    """Which part of its cell a value lies in, the outer ones for values outside: never falls as v grows."""
+    n = F.col("__parts")
+    return F.greatest(F.least(F.floor((v - cell * g) / g * n), n.cast("long") - 1), F.lit(0).cast("long"))
+
+
+def tile_join(r: DataFrame, s: DataFrame, g: float | None = None, predicate: Predicate | None = None, levels: int | None = None) -> DataFrame:
+    """As grid_join, with full cells cut into parts that follow the density: for strongly skewed places.
+
+    The full cells are joined to the rows on the cell, so their number is bounded by rows and
+    not by what a plan or a driver holds.
+    """
+    return grid_join(r, s, g, predicate, levels, split=True)
 
 
-def plan_join(r: DataFrame, s: DataFrame, skew: float = 50.0, predicate: Predicate | None = None) -> DataFrame:
-    """The grid, or tiles if the fullest cell holds many times the mean: one look at the cells' counts."""
+def plan_join(r: DataFrame, s: DataFrame, predicate: Predicate | None = None) -> DataFrame:
+    """The grid, or with full cells cut if there are any: one look at the cells' counts. Both give the same pairs."""
     e = extents(r, s)
-    g = cell_side(e)
-    cell = [F.floor((F.col(lo) + F.col(hi)) / 2 / g) for lo, hi in (("xlo", "xhi"), ("ylo", "yhi"))]
-    counts = r.select(*SIDES).unionAll(s.select(*SIDES)).groupBy(*cell).count().agg(F.max("count").alias("most"), F.avg("count").alias("mean")).first()
-    if counts["most"] and counts["most"] > skew * counts["mean"]:
-        return tile_join(r, s, predicate=predicate)
-    return grid_join(r, s, g=g, predicate=predicate)
+    g, levels = _chosen(e)
+    small = (t.where(_level(g, levels) == 0) if levels > 1 else t for t in (r, s))
+    return grid_join(r, s, g, predicate, levels, split=not full_cells(g, *small).isEmpty())
 
 
 def contains_join(r: DataFrame, s: DataFrame, g: float | None = None) -> DataFrame:
@@ -197,6 +209,13 @@ def semi_join(r: DataFrame, s: DataFrame, g: float | None = None, anti: bool = F
     return r.join(met, "id", "left_anti" if anti else "left_semi")
 
 
+def outer_join(r: DataFrame, s: DataFrame, g: float | None = None, full: bool = False) -> DataFrame:
+    """The pairs, the rows of r that meet none with nulls for the right side and, if full, those of s likewise."""
+    pairs = grid_join(r, s, g).select(*r.columns, *(f"{c}_r" for c in s.columns))
+    out = pairs.unionByName(semi_join(r, s, g, anti=True), allowMissingColumns=True)
+    return out.unionByName(_renamed(semi_join(s, r, g, anti=True)), allowMissingColumns=True) if full else out
+
+
 def with_clip(pairs: DataFrame) -> DataFrame:
     """Adds the common box and its area to joined pairs."""
     box = S.clip(left(), right())

@@ -48,12 +48,28 @@ def test_joins_agree(spark, mixed):
     assert pairs(join.grid_join(a, b)) == want
     for g in (0.5, 1.0, 7.0):
         assert pairs(join.grid_join(a, b, g=g)) == want
-    assert pairs(join.tile_join(a, b, join.tile_cuts(a, b, slabs=3, sample=1.0))) == want
+    for g in (None, 1.0, 7.0, 40.0):
+        assert pairs(join.tile_join(a, b, g)) == want
     assert sorted((y, x) for x, y in pairs(join.grid_join(b, a))) == want
-    assert pairs(join.plan_join(a, b, skew=1.1)) == want
+    assert pairs(join.plan_join(a, b)) == want
     assert pairs(join.contains_join(a, b)) == pairs(join.naive_join(a, b, S.contains))
 
 
+def test_full_cells_are_cut(spark):
+    """Most rows in one place: few candidates share a part, no box is copied into many."""
+    r = random.Random(5)
+
+    def some(n):
+        return boxes(spark, [(x, y, x + r.uniform(0, 0.002), y + r.uniform(0, 0.002)) for x, y in ((r.gauss(-3, 0.05), r.gauss(2, 0.05)) for _ in range(n))] + [(-100, -100, -99, -99), (100, 100, 101, 101)])
+
+    a, b = some(1500), some(1500)
+    full = join.full_cells(5.0, a, b)
+    assert full.count() == 1 and full.first()["__parts"] >= 8
+    held = join._parts(join._cells(a, 5.0), full, 5.0)
+    assert held.groupBy("__px", "__py").count().agg(F.max("count")).first()[0] < 300 and held.count() < 4 * 1502
+    assert pairs(join.tile_join(a, b, 5.0)) == pairs(join.naive_join(a, b)) == pairs(join.plan_join(a, b))
+
+
 def test_self_join_and_semi(spark, mixed):
     a, b = mixed
     every = pairs(join.naive_join(a, a))
@@ -61,6 +77,9 @@ def test_self_join_and_semi(spark, mixed):
     met = {x for x, _ in pairs(join.naive_join(a, b))}
     assert {r["id"] for r in join.semi_join(a, b).collect()} == met
     assert join.semi_join(a, b, anti=True).count() == a.count() - len(met)
+    outer = join.outer_join(a, b, full=True)
+    assert outer.where("id_r is null").count() == a.count() - len(met) and outer.where("id is null").count() == join.semi_join(b, a, anti=True).count()
+    assert pairs(outer.where("id is not null and id_r is not null")) == pairs(join.naive_join(a, b))
 
 
 def test_empty_sides(spark, mixed):
