@@ -147,12 +147,22 @@ def _within(a: Moving, period: Span | None) -> Span:
     return Span(F.greatest(a.span.t0, period.t0), F.least(a.span.t1, period.t1)) if period else a.span
 
 
+def swept_measure(extents: list[tuple[Column, Column]], h: Column) -> Column:
+    """Integral over a time h of the product of extents, given as (size at first, growth), of any number of axes."""
+    powers = [F.lit(1.0)]  # of the time, by rising exponent
+    for size, growth in extents:
+        grown = [F.lit(0.0), *(c * growth for c in powers)]
+        powers = [c * size + g for c, g in zip([*powers, F.lit(0.0)], grown, strict=True)]
+    out = F.lit(0.0)
+    for k in range(len(powers), 0, -1):
+        out = (out + powers[k - 1] / k) * h
+    return F.when(h <= 0, 0.0).otherwise(out)
+
+
 def swept_area(a: Moving, period: Span | None = None) -> Column:
     """Integral of the area over time; 0 over an empty period."""
     p = _within(a, period)
-    h = p.t1 - p.t0
-    (x, u), (y, v) = _extents(a, p.t0)
-    return F.when(h <= 0, 0.0).otherwise(h * x * y + h * h * (x * v + u * y) / 2 + h * h * h * u * v / 3)
+    return swept_measure(_extents(a, p.t0), p.t1 - p.t0)
 
 
 def swept_surface(a: Moving, period: Span | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .join import SIDES
@@ -56,3 +56,10 @@ def by_partition(t: DataFrame, parts: int, *key: str) -> DataFrame:
     """Rows by partition, if dealt by the sum of the key columns."""
     total = sum((F.col(k) for k in key[1:]), F.col(key[0]))
     return t.groupBy(F.pmod(total, F.lit(parts)).alias("part")).agg(F.count("*").alias("rows"))
+
+
+def observed(t: DataFrame, name: str = "boxes") -> tuple[DataFrame, Observation]:
+    """The rows as they are, and an observation of their number, box bytes and bounds once an action has read them."""
+    seen = Observation(name)
+    sides = [f(c).alias(c) for c, f in (("xlo", F.min), ("ylo", F.min), ("xhi", F.max), ("yhi", F.max))]
+    return t.observe(seen, F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * 40).alias("bytes"), *sides), seen

@@ -88,6 +88,14 @@ def delete(t: DataFrame, rows: DataFrame) -> DataFrame:
     return t.alias("t").join(rows.select("id", *SIDES).alias("d"), same, "left_anti")
 
 
+def found(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """The given rows with ``found``: whether t has a row of the same id and box, which delete would take."""
+    same = (F.col("t.id") == F.col("d.id")) & S.equal(S.Region.of("t"), S.Region.of("d"))
+    marked = rows.alias("d").join(t.select("id", *SIDES).alias("t"), same, "left_semi")
+    missing = rows.alias("d").join(t.select("id", *SIDES).alias("t"), same, "left_anti")
+    return marked.withColumn("found", F.lit(True)).unionAll(missing.withColumn("found", F.lit(False)))
+
+
 def z_order(t: DataFrame, g: float, bits: int = 16) -> DataFrame:
     """Adds z, the cell numbers' bits in turn: a key that keeps near cells together."""
     def spread(c):

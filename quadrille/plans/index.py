@@ -11,6 +11,9 @@ from ..functions import shapes as S
 from ..operators import aggregate, join, layout, select
 from ..sources import text
 
+#: Fixed names: folders of a saved index.
+ROWS, LEAVES = "rows", "leaves"
+
 
 @dataclass(frozen=True)
 class Options:
@@ -47,10 +50,14 @@ class Options:
 
 
 class BoxIndex:
-    """Rows (id, xlo, ylo, xhi, yhi, others). Changes give new indexes; nothing is run before it is asked for."""
+    """Rows (id, xlo, ylo, xhi, yhi, others). Changes give new indexes; nothing is run before it is asked for.
+
+    A saved index has its rows by leaf and, beside them, the description of each leaf, which
+    ``is_valid`` holds against the rows when it is opened again.
+    """
 
-    def __init__(self, rows: DataFrame, options: Options = Options()):  # noqa: B008
-        self.rows, self.options = rows, options
+    def __init__(self, rows: DataFrame, options: Options = Options(), placed: DataFrame | None = None, described: DataFrame | None = None):  # noqa: B008
+        self.rows, self.options, self._placed, self._described = rows, options, placed, described
 
     @classmethod
     def from_text(cls, spark: SparkSession, path: str, options: Options = Options()) -> BoxIndex:  # noqa: B008
@@ -58,10 +65,15 @@ class BoxIndex:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options = Options()) -> BoxIndex:  # noqa: B008
-        return cls(spark.read.parquet(path), options)
+        placed = spark.read.parquet(f"{path}/{ROWS}")
+        return cls(placed.drop("leaf"), options, placed, spark.read.parquet(f"{path}/{LEAVES}"))
 
-    def save(self, path: str, mode: str = "errorifexists", cell: float | None = None) -> None:
-        layout.write(self.rows, path, cell or join.cell_side(join.extents(self.rows)), mode)
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """Rows of a leaf lie together, so window queries skip row groups by the sides' minima and maxima."""
+        placed = layout.str_leaves(self.rows.drop("leaf"), self.options.per_leaf)
+        placed.repartitionByRange("leaf").sortWithinPartitions("leaf").write.mode(mode).parquet(f"{path}/{ROWS}")
+        written = self.rows.sparkSession.read.parquet(f"{path}/{ROWS}")
+        layout.nodes(written).write.mode(mode).parquet(f"{path}/{LEAVES}")
 
     def persist(self) -> BoxIndex:
         return BoxIndex(self.rows.persist(StorageLevel.MEMORY_AND_DISK), self.options)
@@ -72,8 +84,8 @@ class BoxIndex:
     def delete(self, rows: DataFrame) -> BoxIndex:
         return BoxIndex(layout.delete(self.rows, rows), self.options)
 
-    def _paged(self, found: DataFrame) -> DataFrame:
-        return select.page(found, self.options.result_offset, self.options.result_limit)
+    def _paged(self, found: DataFrame, *order: str) -> DataFrame:
+        return select.page(found, self.options.result_offset, self.options.result_limit, *order)
 
     def intersecting(self, shape: S.Shape) -> DataFrame:
         return self._paged(select.intersecting(self.rows, shape))
@@ -82,26 +94,29 @@ class BoxIndex:
         return self._paged(select.contained(self.rows, shape))
 
     def nearest(self, shape: S.Shape, k: int) -> DataFrame:
-        return select.nearest(self.rows, shape, k)
+        return self._paged(select.nearest(self.rows, shape, k), "distance", "id")
 
     def join(self, other: BoxIndex) -> DataFrame:
-        return join.plan_join(self.rows, other.rows)
+        return self._paged(join.plan_join(self.rows, other.rows), "id", "id_r")
 
     def self_join(self, window: S.Region | None = None) -> DataFrame:
-        return join.self_join(self.rows, window)
+        return self._paged(join.self_join(self.rows, window), "id", "id_r")
 
     def bounds(self) -> DataFrame:
         return aggregate.bounds(self.rows)
 
+    def _laid(self) -> DataFrame:
+        return self._placed if self._placed is not None else layout.str_leaves(self.rows, self.options.per_leaf)
+
     def leaves(self) -> DataFrame:
-        return layout.nodes(layout.str_leaves(self.rows, self.options.per_leaf))
+        return self._described if self._described is not None else layout.nodes(self._laid())
 
     def statistics(self) -> DataFrame:
-        return layout.statistics(layout.str_leaves(self.rows, self.options.per_leaf), self.options.per_leaf)
+        return layout.statistics(self._laid(), self.options.per_leaf)
 
     def is_valid(self) -> bool:
-        placed = layout.str_leaves(self.rows, self.options.per_leaf)
-        return layout.faults(placed, layout.nodes(placed), self.options.leaf_capacity).isEmpty()
+        """Whether the leaves' description, the stored one if there is one, is that of the rows."""
+        return layout.faults(self._laid(), self.leaves(), self.options.leaf_capacity).isEmpty()
 
     def properties(self) -> dict:
         return asdict(self.options)

@@ -320,9 +320,39 @@ def time_contains(t):
     return select.covered_in_time(t, S.Region(0, 0, 50, 50), T.Span(NOON, MIDNIGHT)).select("id")
 
 
-@query("trect", f"SELECT id FROM trect WHERE (abs(xlo - 20) <= 2.220446049250313e-16 OR abs(xhi - 30) <= 2.220446049250313e-16 OR abs(ylo - 20) <= 2.220446049250313e-16 OR abs(yhi - 30) <= 2.220446049250313e-16) AND {_SPAN}")
+_NEAR = " OR ".join(f"abs({c} - {e}) <= 2.220446049250313e-16" for c, e in (("xlo", "floor(xlo * 10) / 10"), ("xhi", "floor(xhi * 10) / 10"), ("ylo", "floor(ylo)"), ("yhi", "floor(yhi)")))
+
+
+def _coarse() -> S.Region:
+    """Each row's own box on a coarse raster: shares a side with some rows' boxes."""
+    return S.Region(F.floor(F.col("xlo") * 10) / 10, F.floor("ylo"), F.floor(F.col("xhi") * 10) / 10, F.floor("yhi"))
+
+
+@query("trect", f"SELECT id FROM trect WHERE ({_NEAR}) AND t1 > {NOON}")
 def time_touches(t):
-    return t.where(T.touches_in_time(S.Region.of(), T.Span("t0", "t1"), window(), T.Span(NOON, MIDNIGHT))).select("id")
+    return t.where(T.touches_in_time(S.Region.of(), T.Span("t0", "t1"), _coarse(), T.Span(NOON, 1e12))).select("id")
+
+
+@query("trect", "SELECT id, (abs(xlo - floor(xlo * 10) / 10) <= 2.220446049250313e-16) AS same, (abs(t0 - floor(t0 / 3) * 3) <= 2.220446049250313e-16) AS same_period FROM trect")
+def time_equal(t):
+    """Boxes and periods with one side moved to a raster, against themselves."""
+    box, moved = S.Region.of(), S.Region(F.floor(F.col("xlo") * 10) / 10, "ylo", "xhi", "yhi")
+    span, late = T.Interval("t0", "t1"), T.Interval(F.floor(F.col("t0") / 3) * 3, "t1")
+    return t.select("id", T.equal_in_time(box, span, moved, span).alias("same"), T.interval_equal(span, late).alias("same_period"))
+
+
+_IN50 = "x BETWEEN 0 AND 50 AND y BETWEEN 0 AND 50"
+
+
+@query("tpoint", f"SELECT id, ({_IN50} AND t0 >= {NOON} AND t1 <= {MIDNIGHT}) AS held, ({_IN50} AND NOT (t0 >= {NOON} AND t1 <= {MIDNIGHT})) AS held_compat, (x = floor(x) AND {_SPAN}) AS touched, (x = floor(x) AND NOT ({_SPAN})) AS touched_compat FROM tpoint")
+def time_points(t):
+    """Points in a box and a period, and on a side of a box, also with the known slip of time."""
+    box, span, own = S.Region(0, 0, 50, 50), T.Span(NOON, MIDNIGHT), T.Span("t0", "t1")
+    p, around = S.Point.of(), S.Region(F.floor("x"), F.col("y") - 1, F.floor("x") + 2, F.col("y") + 1)
+    return t.select(
+        "id", T.contains_in_time(box, span, p, own).alias("held"), T.contains_in_time(box, span, p, own, compat=True).alias("held_compat"),
+        T.touches_in_time(around, span, p, own).alias("touched"), T.touches_in_time(around, span, p, own, compat=True).alias("touched_compat"),
+    )
 
 
 @query("tpoint", f"SELECT id, (CASE WHEN t0 > {MIDNIGHT} OR t1 < {NOON} THEN false WHEN t0 = {MIDNIGHT} THEN true WHEN t1 = {NOON} THEN false ELSE true END) AS meets, (t0 >= {NOON} AND t1 <= {MIDNIGHT}) AS inside FROM tpoint")
@@ -353,14 +383,43 @@ def _at(c: str, t: str = _AT) -> str:
     return _R.format(c, t)
 
 
-@query("mrect", f"SELECT id FROM mrect WHERE t0 <= {_AT} AND {_AT} < t1 AND {_at('xlo')} <= 90 AND {_at('xhi')} >= 0 AND {_at('ylo')} <= 90 AND {_at('yhi')} >= 0")
+#: A time of each row's own, for a quarter of the rows after its end.
+_OWN = "(t0 + id % 4 * 250.0::double)"
+
+
+def _own_time():
+    return F.col("t0") + F.col("id") % 4 * 250.0
+
+
+@query("mrect", f"SELECT id FROM mrect WHERE {_OWN} < t1 AND {_at('xlo', _OWN)} <= 60 AND {_at('xhi', _OWN)} >= 0 AND {_at('ylo', _OWN)} <= 60 AND {_at('yhi', _OWN)} >= 0")
 def moving_at_time(t):
-    return t.where(M.intersects_at(M.Moving.box(), _still(0.0, 1e12, 90), MIDNIGHT)).select("id")
+    return t.where(M.intersects_at(M.Moving.box(), _still(0.0, 1e12, 60), _own_time())).select("id")
 
 
-@query("mrect", f"SELECT id FROM mrect WHERE t0 <= {_AT} AND {_AT} < t1 AND {_at('xlo')} >= 0 AND {_at('xhi')} <= 90 AND {_at('ylo')} >= 0 AND {_at('yhi')} <= 90")
+@query("mrect", f"SELECT id FROM mrect WHERE {_OWN} < t1 AND {_at('xlo', _OWN)} >= 0 AND {_at('xhi', _OWN)} <= 60 AND {_at('ylo', _OWN)} >= 0 AND {_at('yhi', _OWN)} <= 60")
 def moving_contains_at_time(t):
-    return t.where(M.contains_at(_still(0.0, 1e12, 90), M.Moving.box(), MIDNIGHT)).select("id")
+    return t.where(M.contains_at(_still(0.0, 1e12, 60), M.Moving.box(), _own_time())).select("id")
+
+
+@query("mrect", f"SELECT id, {', '.join(f'v{c} AS v{c}' for c in ('xlo', 'ylo', 'xhi', 'yhi'))}, (vxhi < vxlo OR vyhi < vylo) AS shrinking FROM mrect")
+def moving_speeds(t):
+    m = M.Moving.box()
+    v = m.velocity()
+    return t.select("id", *(getattr(v, c).alias(f"v{c}") for c in join.SIDES), m.shrinking().alias("shrinking"))
+
+
+@query("mrect", "SELECT id, xlo, ylo, xhi, greatest(yhi, 50.0::double) AS yhi, least(vxlo, 0.0::double) AS vxlo, least(vylo, 0.0::double) AS vylo, greatest(vxhi, 0.0::double) AS vxhi, greatest(vyhi, 0.0::double) AS vyhi FROM (SELECT id, least(xlo, 0.0::double) AS xlo, least(ylo, 0.0::double) AS ylo, greatest(xhi, 50.0::double) AS xhi, yhi, vxlo, vylo, vxhi, vyhi FROM mrect)")
+def moving_union(t):
+    """Each moving box joined with a fixed one, from the box's own start on."""
+    u = M.union_in_time(M.Moving.box(), _still(0.0, 1e12), F.col("t0"))
+    names = [("xlo", u.low[0]), ("ylo", u.low[1]), ("xhi", u.high[0]), ("yhi", u.high[1])]
+    return t.select("id", *(side.at.alias(c) for c, side in names), *(side.v.alias(f"v{c}") for c, side in names))
+
+
+@query("mrect", f"SELECT id, round(distance, 6) AS distance FROM (SELECT id, distance, rank() OVER (ORDER BY distance) AS place FROM (SELECT id, sqrt(greatest(xlo - 50, 50 - xhi, 0) * greatest(xlo - 50, 50 - xhi, 0) + greatest(ylo - 50, 50 - yhi, 0) * greatest(ylo - 50, 50 - yhi, 0)) AS distance FROM (SELECT id, {', '.join(f'{c} + v{c} * ({_CLAMP} - t0) AS {c}' for c in ('xlo', 'ylo', 'xhi', 'yhi'))} FROM mrect))) WHERE place <= 10")
+def knn_at_time(t):
+    """Nearest moving boxes at a time."""
+    return select.nearest(select.snapshot(t, MIDNIGHT), S.Point(50, 50), 10).select("id", F.round("distance", 6).alias("distance"))
 
 
 def _when(parts: list[tuple[str, str]], rest: str) -> str:
@@ -399,6 +458,27 @@ def moving_contains(t):
     return t.where(M.contains_during(_still(), M.Moving.box())).select("id")
 
 
+_BOTH_ENDS = "{0} BETWEEN 0 AND 50 AND {1} BETWEEN 0 AND 50"
+
+
+def _point_at(t: str) -> str:
+    return _BOTH_ENDS.format(_at("x", t), _at("y", t))
+
+
+@query("mpoint", f"SELECT id FROM mpoint WHERE {_point_at('t0')} AND {_point_at('t1')} AND t0 >= {NOON} AND t1 <= {MIDNIGHT}")
+def moving_point_contains(t):
+    return t.where(M.contains_during(_still(), M.Moving.point())).select("id")
+
+
+_MID = "(t0 + 300.0::double)"
+
+
+@query("mpoint", f"SELECT id FROM mpoint WHERE {_point_at(_MID)} AND {_point_at('t1')} AND {_MID} >= {NOON} AND t1 <= {MIDNIGHT}")
+def moving_point_contains_after(t):
+    """Held from the middle of each point's own period on."""
+    return t.where(M.contains_after(_still(), M.Moving.point(), F.col("t0") + 300)).select("id")
+
+
 @query("mrect", "SELECT id, round(h * x * y + h * h * (x * v + u * y) / 2 + h * h * h * u * v / 3, 4) AS swept FROM (SELECT id, t1 - t0 AS h, xhi - xlo AS x, yhi - ylo AS y, vxhi - vxlo AS u, vyhi - vylo AS v FROM mrect)")
 def swept_area(t):
     return t.select("id", F.round(M.swept_area(M.Moving.box()), 4).alias("swept"))
@@ -409,6 +489,19 @@ def swept_surface(t):
     return t.select("id", F.round(M.swept_surface(M.Moving.box()), 4).alias("swept"))
 
 
+_PARTS = "SELECT id, h, x, y, z, u, v, w FROM (SELECT id, t1 - t0 AS h, xhi - xlo AS x, yhi - ylo AS y, (id % 7)::double AS z, vxhi - vxlo AS u, vyhi - vylo AS v, id % 3 / 100.0::double AS w FROM mrect)"
+
+
+@query("mrect", f"SELECT id, round(h * x + h * h * u / 2, 4) AS swept_line, round(h * x * y * z + h * h * (u * y * z + x * v * z + x * y * w) / 2 + h * h * h * (u * v * z + u * y * w + x * v * w) / 3 + h * h * h * h * u * v * w / 4, 2) AS swept_solid FROM ({_PARTS})")
+def swept_extents(t):
+    """Swept measures of one and three dimensions."""
+    m = M.Moving.box()
+    x, y = M._extents(m, m.span.t0)
+    z = ((F.col("id") % 7).cast("double"), F.col("id") % 3 / 100.0)
+    h = m.span.t1 - m.span.t0
+    return t.select("id", F.round(M.swept_measure([x], h), 4).alias("swept_line"), F.round(M.swept_measure([x, y, z], h), 2).alias("swept_solid"))
+
+
 _CENTER_SQL = """, c AS (SELECT id, t1 - t0 AS h, 25 - (xlo + xhi) / 2 AS dx, 25 - (ylo + yhi) / 2 AS dy, -(vxlo + vxhi) / 2 AS wx, -(vylo + vyhi) / 2 AS wy FROM mrect),
 q AS (SELECT id, h, wx * wx + wy * wy AS a, dx * dx + dy * dy AS d, dx * wx + dy * wy AS b FROM c)
 SELECT id, round(CASE WHEN a = 0 THEN h * sqrt(d) ELSE (z1 * r1 - z0 * r0 + CASE WHEN o > 0 THEN o * (asinh(z1 / sqrt(o)) - asinh(z0 / sqrt(o))) ELSE 0 END) / (2 * sqrt(a)) END, 3) AS travelled
@@ -424,13 +517,27 @@ def center_distance(t):
 SQL["center_distance"] = SQL["center_distance"].replace(" , c AS", ", c AS")
 
 
-@query("mrect")
+def _common(k: str, t: str) -> str:
+    return f"greatest(least({k}hi + v{k}hi * {t}, 50.0::double) - greatest({k}lo + v{k}lo * {t}, 0.0::double), 0.0::double)"
+
+
+_MEETS = ", ".join(f"({side} - {c}) / nullif(v{c}, 0)" for c in ("xlo", "ylo", "xhi", "yhi") for side in ("0.0::double", "50.0::double"))
+_PIECES = " + ".join(f"{w} * {_common('x', t)} * {_common('y', t)}" for w, t in ((1, "t"), (4, "((t + e) / 2)"), (1, "e")))
+_OVERLAP_SQL = f""", c AS (SELECT *, t1 - t0 AS h FROM mrect), k AS (SELECT *, list_distinct(list_filter([0.0::double, h, {_MEETS}], lambda t: t >= 0 AND t <= h)) AS cuts FROM c),
+u AS (SELECT * EXCLUDE (cuts), unnest(cuts) AS t FROM k), p AS (SELECT *, lead(t) OVER (PARTITION BY id ORDER BY t) AS e FROM u)
+SELECT id, round(coalesce(sum(({_PIECES}) * (e - t) / 6) FILTER (e IS NOT NULL), 0), 3) AS shared FROM p GROUP BY id"""
+
+
+@query("mrect", _OVERLAP_SQL)
 def overlap_integral(t):
-    """Piecewise integral over sorted crossings, checked by numeric integration in the tests."""
+    """Piecewise integral over sorted crossings."""
     still = M.Moving.fixed(S.Region(0, 0, 50, 50), T.Span(0.0, 1e12))
     return t.select("id", F.round(M.overlap_integral(M.Moving.box(), still), 3).alias("shared"))
 
 
+SQL["overlap_integral"] = SQL["overlap_integral"].replace(" , c AS", ", c AS")
+
+
 _LEAVES = """, n AS (SELECT ceil(count(*) / 70.0) AS p FROM rect_r), s AS (SELECT ceil(sqrt(p))::bigint * 70 AS rows FROM n),
 x AS (SELECT *, row_number() OVER (ORDER BY xlo + xhi, id) - 1 AS rx FROM rect_r), y AS (SELECT x.*, rx // s.rows AS slab, s.rows AS per FROM x, s),
 z AS (SELECT *, slab * (per // 70) + (row_number() OVER (PARTITION BY slab ORDER BY ylo + yhi, id) - 1) // 70 AS leaf FROM y) """
@@ -446,13 +553,22 @@ def layout_stats(r):
     return layout.statistics(layout.str_leaves(r))
 
 
-@query("rect_r", "SELECT 0::bigint AS faults")
+@query("rect_r", _LEAVES + "SELECT leaf::bigint AS leaf FROM z GROUP BY leaf HAVING leaf % 3 = 0 OR min(xlo) < min(xlo) FILTER (id % 100 <> 7) OR min(ylo) < min(ylo) FILTER (id % 100 <> 7) OR max(xhi) > max(xhi) FILTER (id % 100 <> 7) OR max(yhi) > max(yhi) FILTER (id % 100 <> 7)")
 def layout_valid(r):
+    """Leaves whose description no longer fits: a third were spoilt, and then every hundredth row left."""
     placed = layout.str_leaves(r)
-    return layout.faults(placed, layout.nodes(placed)).agg(F.count("*").alias("faults"))
+    described = layout.nodes(placed).withColumn("xlo", F.when(F.col("leaf") % 3 == 0, F.col("xlo") - 1).otherwise(F.col("xlo")))
+    return layout.faults(placed.where("id % 100 <> 7"), described)
+
 
+@query("rect_r", _LEAVES + "SELECT leaf::bigint AS leaf, sum(id)::bigint AS id_sum FROM z GROUP BY leaf HAVING min(xlo) >= 10 AND min(ylo) >= 10 AND max(xhi) <= 80 AND max(yhi) <= 80")
+def covered_leaves(r):
+    """Ids by leaf, of the leaves that lie in a window as a whole."""
+    held = select.contained(layout.nodes(layout.str_leaves(r)), S.Region(10, 10, 80, 80))
+    return held.select("leaf", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
-for _n in ("str_leaves", "layout_stats"):
+
+for _n in ("str_leaves", "layout_stats", "layout_valid", "covered_leaves"):
     SQL[_n] = SQL[_n].replace(" , n AS", ", n AS")
 
 
@@ -466,6 +582,25 @@ def delete_then_count(r, s):
     return select.count(layout.delete(r, s))
 
 
+@query("rect_r rect_s", "SELECT s.id AS id, (r.id IS NOT NULL) AS found FROM rect_s s LEFT JOIN rect_r r ON r.id = s.id AND s.id % 3 = 0")
+def delete_found(r, s):
+    """Which of the rows to delete are there; two thirds were moved before."""
+    moved = s.withColumn("xlo", F.when(F.col("id") % 3 == 0, F.col("xlo")).otherwise(F.col("xlo") - 1))
+    return layout.found(r, moved).select("id", "found")
+
+
+@query("rect_s rect_r", f"SELECT r.id AS id, s.id AS id_r FROM rect_s r LEFT JOIN (SELECT * FROM rect_r WHERE id % 5 = 0) s ON {MEET}")
+def join_left_outer(s, r):
+    return join.outer_join(s, r.where("id % 5 = 0")).select("id", "id_r")
+
+
+@query("pt rect_r", "SELECT p.id AS id, r.id AS id_r FROM pt p JOIN rect_r r ON p.x BETWEEN r.xlo AND r.xhi AND p.y BETWEEN r.ylo AND r.yhi")
+def points_located(p, r):
+    """Many point queries at once."""
+    at = p.select("id", F.col("x").alias("xlo"), F.col("y").alias("ylo"), F.col("x").alias("xhi"), F.col("y").alias("yhi"))
+    return join.grid_join(at, r).select("id", "id_r")
+
+
 _EPS = "2.220446049250313e-16"
 
 
@@ -476,6 +611,26 @@ def geom_scalars(r):
     return r.select("id", S.area(b).alias("area"), c.x.alias("cx"), c.y.alias("cy"), S.margin(b).alias("margin"), S.distance(b, q).alias("distance"), S.clip_area(b, q).alias("shared"), S.touches(b, q).alias("touches"))
 
 
+@query("ball", f"SELECT id, abs(sqrt((cx - (cx + r)) * (cx - (cx + r))) - r) <= {_EPS} AS touches, abs(greatest(cx + r - cx, 0) - r) <= {_EPS} AS touches_box, pi() * r * r AS area FROM ball")
+def ball_touches(b):
+    """Balls against the point and the box at the end of their radius."""
+    ball, end = S.Ball.of(), F.col("cx") + F.col("r")
+    y = F.col("cy")
+    return b.select("id", S.touches(ball, S.Point(end, y)).alias("touches"), S.touches(ball, S.Region(end, y - 1, end + 1, y + 1)).alias("touches_box"), S.area(ball).alias("area"))
+
+
+@query("rect_r", "SELECT id, (xhi - xlo) * (yhi - ylo) * 3 AS volume, ((xhi - xlo) + (yhi - ylo) + 3) * 4 AS margin, (xlo <= 60 AND xhi >= 20 AND ylo <= 60 AND yhi >= 20 AND id % 10 <= 5 AND id % 10 + 3 >= 4) AS meets, (xlo >= 20 AND xhi <= 60 AND ylo >= 20 AND yhi <= 60 AND id % 10 >= 4 AND id % 10 + 3 <= 5) AS held, ylo AS second, 2 AS dimension FROM rect_r")
+def geom_solid(r):
+    """Boxes of three dimensions, as arrays."""
+    z = (F.col("id") % 10).cast("double")
+    lo, hi = F.array(F.col("xlo"), F.col("ylo"), z), F.array(F.col("xhi"), F.col("yhi"), z + 3)
+    low, high = (F.array(*(F.lit(float(v)) for v in vs)) for vs in ((20, 20, 4), (60, 60, 5)))
+    return r.select(
+        "id", S.area_nd(lo, hi).alias("volume"), S.margin_nd(lo, hi).alias("margin"), S.intersects_nd(lo, hi, low, high).alias("meets"), S.contains_nd(low, high, lo, hi).alias("held"),
+        S.coordinate(lo, 1).alias("second"), S.dimension(S.Region.of()).alias("dimension"),
+    )
+
+
 _D = f"(CASE WHEN abs(x2 - x1) <= {_EPS} THEN (CASE WHEN y1 < y2 THEN x1 - {{0}} ELSE {{0}} - x1 END) WHEN abs(y2 - y1) <= {_EPS} THEN (CASE WHEN x1 < x2 THEN {{1}} - y1 ELSE y1 - {{1}} END) ELSE ((x1 - {{0}}) * (y2 - y1) - (x2 - x1) * (y1 - {{1}})) / nullif(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0) END)"
 
 

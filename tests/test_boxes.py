@@ -110,7 +110,7 @@ def test_edge_cases(spark):
     with pytest.raises(NotImplementedError):
         S.intersects(S.Point(0, 0), S.Point(0, 0))
     assert value(spark, S.ball_volume(F.lit(1.0), 3)) == pytest.approx(4.18879, abs=1e-5)
-    assert value(spark, S.ball_volume(F.lit(1.0), 3, compat=True)) == pytest.approx(3.14159, abs=1) 
+    assert value(spark, S.ball_volume(F.lit(1.0), 3, compat=True)) == pytest.approx(math.pi / math.gamma(2))
     lo, hi = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     assert value(spark, S.area_nd(lo, hi)) == 6 and value(spark, S.margin_nd(lo, hi)) == 24 and value(spark, S.intersects_nd(lo, hi, hi, hi))
 
@@ -252,6 +252,16 @@ def test_index(spark, mixed, tmp_path):
     assert again.rows.count() == a.count() and pairs(again.join(BoxIndex(b))) == pairs(join.naive_join(a, b))
     assert index.insert(b.limit(5)).rows.count() == a.count() + 5
     assert index.delete(a.limit(3)).rows.count() == a.count() - 3 and index.delete(boxes(spark, [(777, 0, 778, 1)])).rows.count() == a.count()
+    assert again.is_valid() and again.leaves().count() == index.leaves().count()
+    shifted = spark.read.parquet(str(tmp_path / "i" / "rows")).withColumn("xhi", F.col("xhi") + (F.col("id") == 5).cast("double") * 2000)
+    shifted.write.parquet(str(tmp_path / "j" / "rows"))
+    spark.read.parquet(str(tmp_path / "i" / "leaves")).write.parquet(str(tmp_path / "j" / "leaves"))
+    assert not BoxIndex.open(spark, str(tmp_path / "j")).is_valid()
+    paged = BoxIndex(a, Options(result_limit=3, result_offset=2))
+    assert pairs(paged.join(BoxIndex(b))) == pairs(join.naive_join(a, b))[2:5] and paged.nearest(S.Point(0, 0), 9).count() == 3
+    assert [r["found"] for r in layout.found(a, a.limit(2).unionAll(boxes(spark, [(777, 0, 778, 1)]))).collect()].count(True) == 2
+    rows, seen = aggregate.observed(a)
+    assert rows.count() == seen.get["rows"] == a.count() and seen.get["xhi"] == 1000
     with pytest.raises(ValueError):
         Options(fill=1.5)
     broken = layout.nodes(layout.str_leaves(a, 7)).withColumn("xlo", F.col("xlo") - 1)
