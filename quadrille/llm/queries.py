@@ -116,4 +116,13 @@ n AS (SELECT bn, count(*) AS n_item FROM bs GROUP BY bn)
 SELECT doc_id, item_id, n_item::bigint AS n_item, count(*)::bigint AS n_found, count(*) / n_item::double AS containment
 FROM ds JOIN bs USING (sh) JOIN n USING (bn) GROUP BY doc_id, rn, item_id, bn, n_item HAVING count(*) * 5 >= n_item * 4"""
 
-SQL = {"op6_licenses": _licenses_sql(), "op7_decontaminate": DECONTAMINATE_SQL}
+REPEATS_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT rn, unnest(ws) AS w, generate_subscripts(ws, 1) AS j, len(ws) AS n FROM t),
+s AS (SELECT rn, j, n, string_agg(w, ' ') OVER (PARTITION BY rn ORDER BY j ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS run FROM u),
+d AS (SELECT rn, j FROM s WHERE j + 34 <= n QUALIFY count(*) OVER (PARTITION BY run) > 1),
+c AS (SELECT DISTINCT rn, unnest(range(j, j + 35)) AS j FROM d),
+k AS (SELECT rn, count(*) AS kept, string_agg(w, ' ' ORDER BY j) AS text FROM u ANTI JOIN c USING (rn, j) GROUP BY rn)
+SELECT doc_id, len(ws)::bigint AS n_words, (len(ws) - coalesce(kept, 0))::bigint AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM t LEFT JOIN k USING (rn)"""
+
+SQL = {"op5_substring_dedup": REPEATS_SQL, "op6_licenses": _licenses_sql(), "op7_decontaminate": DECONTAMINATE_SQL}
