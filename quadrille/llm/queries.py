@@ -125,4 +125,16 @@ c AS (SELECT DISTINCT rn, unnest(range(j, j + 35)) AS j FROM d),
 k AS (SELECT rn, count(*) AS kept, string_agg(w, ' ' ORDER BY j) AS text FROM u ANTI JOIN c USING (rn, j) GROUP BY rn)
 SELECT doc_id, len(ws)::bigint AS n_words, (len(ws) - coalesce(kept, 0))::bigint AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM t LEFT JOIN k USING (rn)"""
 
-SQL = {"op5_substring_dedup": REPEATS_SQL, "op6_licenses": _licenses_sql(), "op7_decontaminate": DECONTAMINATE_SQL}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD_SQL = f"""
+WITH RECURSIVE ds AS MATERIALIZED ({_sets_sql("documents", "doc_id", 4, _LOWERED)}),
+n AS MATERIALIZED (SELECT rn, doc_id, count(*) AS n FROM ds GROUP BY ALL),
+m AS (SELECT a.rn AS x, b.rn AS y, count(*) AS m FROM ds a JOIN ds b USING (sh) GROUP BY ALL),
+p AS MATERIALIZED (SELECT x, y FROM m JOIN n a ON a.rn = x JOIN n b ON b.rn = y WHERE 100 * m >= 85 * (a.n + b.n - m)),
+r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+k AS (SELECT x, min(doc_id) AS component_id FROM r JOIN n ON n.rn = y GROUP BY x),
+d AS (SELECT doc_id, row_number() OVER () AS rn FROM documents)
+SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(component_id, d.doc_id)::bigint AS component_id FROM d LEFT JOIN n USING (rn) LEFT JOIN k ON k.x = d.rn"""
+
+SQL = {"op9_jaccard_join": JACCARD_SQL, "op5_substring_dedup": REPEATS_SQL, "op6_licenses": _licenses_sql(), "op7_decontaminate": DECONTAMINATE_SQL}
