@@ -1,6 +1,7 @@
 """Small fixtures against brute force, libraries and DuckDB; odd inputs for each operator."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -95,6 +96,46 @@ def test_toxicity(spark, odd):
     assert toxicity.fit(docs, marks.limit(0), "toxic", F.lit(True)).entries == toxicity.Lexicon().entries
 
 
+def test_toxic_hits_and_scores_match_brute_force(spark):
+    model = toxicity.Lexicon({("bad", False): 1.0, ("badly", False): 2.0, ("grum", True): 1.5, ("lybad", True): 0.5}, (-3.0, 2.0, 1.0), ("bad hair day", "not badly"))
+
+    def plain(t):
+        low, folded = toxicity.fold(t)
+        safe = [(i, i + len(p)) for p in model.exceptions for i in range(len(low)) if folded.startswith(p, i) and not low[:i][-1:].isalpha() and not low[i + len(p) :][:1].isalpha()]
+        out = []
+        for i in range(len(low)):
+            fits = [(w, i + len(x)) for (x, stem), w in model.entries.items() if folded.startswith(x, i) and not low[:i][-1:].isalpha() and (stem or not low[i + len(x) :][:1].isalpha())]
+            if fits and not any(a <= i and max(fits)[1] <= b for a, b in safe):
+                out.append((i, max(fits)[1], max(fits)[0]))
+        return out
+
+    r, a = random.Random(8), model.automaton()
+    texts = ["".join(r.choice(["bad", "b4d", "badly", "grum", "ly", " ", " ", "not ", "hair day", ".", "é", "\u200b", "x"]) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    assert all(toxicity.hits(t, a) == plain(t) for t in texts) and any(plain(t) for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in toxicity.score(docs, model).collect():
+        total = sum(w for *_, w in plain(row["text"]))
+        x = -3.0 + 2.0 * math.log1p(total) + math.log1p(100 * total / (row["text"].count(" ") + 101))
+        assert row["toxic_score"] == pytest.approx(1 / (1 + math.exp(-x)))
+
+
+def test_log_densities_match_brute_force():
+    g = np.random.default_rng(3)
+    x = np.vstack([g.normal(0, 1, (300, 4)) @ g.normal(0, 1, (4, 4)), g.normal(1, 2, (200, 4))])
+    y = np.repeat([0, 1], [300, 200])
+    model = quality.train(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = 0.6 * own[0] + 0.4 * own[1]
+    pooled = (1 - quality.SHRINK_TO_SPHERE) * pooled + quality.SHRINK_TO_SPHERE * np.trace(pooled) / 4 * np.eye(4)
+    logs = []
+    for k in (0, 1):
+        c = (1 - quality.SHRINK_TO_POOLED) * own[k] + quality.SHRINK_TO_POOLED * pooled + 1e-6 * np.eye(4)
+        off = z - z[y == k].mean(0)
+        logs.append(np.array([-0.5 * o @ np.linalg.solve(c, o) for o in off]) - 0.5 * np.linalg.slogdet(c)[1] + math.log(np.mean(y == k)))
+    assert np.allclose(model.difference(x), logs[1] - logs[0])
+
+
 def test_quality(spark, odd):
     r = random.Random(5)
     rows, labels = [], []
